@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 ENTITY_SCHEMA = "struct<entities: map<string, struct<sitelinks: string, claims: string>>>"
 SITELINKS_SCHEMA = "map<string, struct<title: string>>"
 CLAIMS_SCHEMA = "map<string, array<struct<mainsnak: struct<datatype: string>>>>"
-PAGE_SCHEMA = (
-    "struct<query: struct<pages: map<string, struct<"
-    "length: bigint, missing: string, coordinates: string, categories: array<string>, "
-    "extlinks: array<string>, langlinks: array<string>>>>>"
+PAGE_MAP_SCHEMA = (
+    "map<string, struct<length: bigint, missing: string, coordinates: string, "
+    "categories: array<string>, extlinks: array<string>, langlinks: array<string>>>"
 )
+PAGE_SCHEMA = f"struct<query: struct<pages: {PAGE_MAP_SCHEMA}>>"
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def parse_pages(df: DataFrame, raw: str = "raw") -> DataFrame:
         "pages",
         F.coalesce(
             F.from_json(raw, PAGE_SCHEMA)["query"]["pages"],
-            F.from_json(F.lit("{}"), PAGE_SCHEMA.split("pages: ", 1)[1][:-2]),
+            F.from_json(F.lit("{}"), PAGE_MAP_SCHEMA),
         ),
     )
 
@@ -122,7 +122,7 @@ def keys_numbered_above(claims: Column, bound: int = 200) -> Column:
     return F.size(
         F.filter(
             F.map_keys(claims),
-            lambda k: k.rlike("^P[0-9]+$") & (F.expr("bigint(0)") + F.substring(k, 2, 18).try_cast("bigint") > bound),
+            lambda k: k.rlike("^P[0-9]+$") & (F.substring(k, 2, 18).try_cast("bigint") > bound),
         )
     )
 

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from taxon.session import broadcast_if_small
 
 # Class ids of the fine-tuned model.
 LABEL_IDS = {
@@ -26,21 +23,6 @@ def id_to_label(label_id: Column, ids: dict[str, int] = LABEL_IDS) -> Column:
     return F.try_element_at(F.create_map(*pairs), label_id)
 
 
-def alphabetical_ids(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, label_id): ids from 0 in label order. One row per class."""
-    # the window runs over the class table, never over data rows
-    return (
-        df.select(label)
-        .where(F.col(label).isNotNull())
-        .distinct()
-        .withColumn("label_id", F.row_number().over(W.orderBy(label)) - 1)
-    )
-
-
-def with_alphabetical_id(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(broadcast_if_small(alphabetical_ids(df, label)), label, "left")
-
-
 def softmax(logits: Column) -> Column:
     """Probabilities from an array of logits, shifted by the maximum for safety."""
     exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))

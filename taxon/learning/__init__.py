@@ -1,0 +1 @@
+"""Fitting, tuning and applying classifiers on Spark ML."""

@@ -1,4 +1,4 @@
-"""Session helpers: scratch folder, lineage cuts and checked broadcasts."""
+"""Session helpers: scratch folder, lineage cuts and size checks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -54,7 +53,3 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     """True when the frame holds at most ``max_rows`` rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Broadcast hint behind a row check; beyond it the join stays a shuffled one."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
