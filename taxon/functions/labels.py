@@ -30,9 +30,17 @@ def softmax(logits: Column) -> Column:
     return F.transform(exps, lambda x: x / total)
 
 
+def best(values: Column) -> Column:
+    """Struct of the largest element and its 0-based position, the first one when tied.
+
+    The array is named once only: a predicate pushed below it must not multiply its cost.
+    """
+    ranked = F.transform(values, lambda v, i: F.struct(v.alias("value"), (-i).alias("rank")))
+    return F.array_max(ranked)
+
+
 def argmax(values: Column) -> Column:
-    """0-based position of the largest element, the first one when tied."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return -best(values)["rank"]
 
 
 def class_at(index: Column, classes: list[str]) -> Column:
@@ -45,10 +53,10 @@ def slug(label: str) -> str:
 
 def with_prediction(df: DataFrame, classes: list[str], probs: str = "probs") -> DataFrame:
     """Add the winning class and its probability."""
-    p = F.col(probs)
-    return df.withColumns(
-        {"predicted_label": class_at(argmax(p), classes), "confidence": F.array_max(p)}
-    )
+    top = df.withColumn("_best", best(F.col(probs)))
+    return top.withColumns(
+        {"predicted_label": class_at(-F.col("_best.rank"), classes), "confidence": F.col("_best.value")}
+    ).drop("_best")
 
 
 def with_class_probabilities(df: DataFrame, classes: list[str], probs: str = "probs") -> DataFrame:

@@ -24,10 +24,13 @@ def _f1(precision: Column, recall: Column) -> Column:
 
 def confusion_counts(df: DataFrame, by: list[str] = (), label: str = LABEL, predicted: str = PREDICTED) -> DataFrame:
     """Rows per observed (true, predicted) pair; rows without a label are left out."""
+    # filtering the counts, not the rows: a predicate on a computed prediction would be pushed
+    # down and make the scan evaluate the whole model once more
+    known = F.col(label).isNotNull() & F.col(predicted).isNotNull()
     return (
-        df.where(F.col(label).isNotNull() & F.col(predicted).isNotNull())
-        .groupBy(*by, F.col(label).alias(LABEL), F.col(predicted).alias(PREDICTED))
-        .agg(F.count(F.lit(1)).alias("count"))
+        df.groupBy(*by, F.col(label).alias(LABEL), F.col(predicted).alias(PREDICTED))
+        .agg(F.count_if(known).alias("count"))
+        .where(F.col("count") > 0)
     )
 
 
@@ -197,10 +200,10 @@ def full_report(df: DataFrame) -> DataFrame:
 
     def entries(part: DataFrame, key: list[str], values: list[str]) -> Column:
         pair = F.struct(key[0] if len(key) == 1 else F.struct(*key), F.struct(*values))
-        return part.agg(F.map_from_entries(F.array_sort(F.collect_list(pair)))).scalar()
+        return part.agg(F.map_from_entries(F.collect_list(pair))).scalar()
 
     errors = error_breakdown(df).groupBy(LABEL, "total_errors", "total_samples", "error_rate").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("misclassified_as", "count")))).alias("misclassified_as")
+        F.map_from_entries(F.collect_list(F.struct("misclassified_as", "count"))).alias("misclassified_as")
     )
     cells = F.array_sort(F.collect_list(F.struct(LABEL, PREDICTED, "count")))
     shares = F.array_sort(F.collect_list(F.struct(LABEL, PREDICTED, "share")))

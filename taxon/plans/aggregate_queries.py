@@ -21,6 +21,7 @@ from taxon.plans.registry import query, r
 from taxon.plans.scalar_queries import ENRICHED_TEXT_SQL, LENGTHS_SQL
 from taxon.plans.source_queries import DISTRIBUTION_SQL, OVERALL_SQL, split_tables
 from taxon.plans.views import CLASSES, MODELS, Views, scores_by
+from taxon.session import spread
 
 # ---- distributions and profiles
 
@@ -511,8 +512,7 @@ def tfidf_sql(body: str) -> str:
 
 @query(tfidf_sql(f"SELECT doc_id, term, CAST(position AS INTEGER) AS position, {r('tfidf', 'tfidf')} FROM cells"))
 def text_tfidf_topn(v: Views):
-    docs = v.items.select("doc_id", "description")
-    return T.tfidf(docs, T.fit_idf(docs, "doc_id", "description"), "doc_id", "description")
+    return T.fit_transform(spread(v.items.select("doc_id", "description")), "doc_id", "description")
 
 
 @query(
@@ -529,8 +529,8 @@ def text_tfidf_topn(v: Views):
     )
 )
 def feat_basic_set(v: Views):
-    docs = v.items.select("doc_id", "description")
-    vectors = T.tfidf_wide(docs, T.fit_idf(docs, "doc_id", "description"), "doc_id", "description")
+    docs = spread(v.items.select("doc_id", "description"))
+    vectors = T.widened(docs, T.fit_transform(docs, "doc_id", "description"), "doc_id")
     basic = text.with_text_lengths(v.items)
     basic = X.with_onehot_observed(basic, "type", "type")
     basic = X.with_onehot_observed(basic, "subcategory", "category")

@@ -122,6 +122,15 @@ def json_langlinks_count(v: Views):
     return D.parse_pages(v.page_docs).select("title", D.langlink_count(F.col("pages")).alias("languages"))
 
 
+def raw_features(entity_docs: DataFrame, page_docs: DataFrame) -> DataFrame:
+    """All raw features of every entity, from its own document and that of its page."""
+    found = D.parse_entity(entity_docs).withColumn("title", D.title_of(F.col("sitelinks")))
+    features = D.with_claim_features(found).drop("raw", "sitelinks", "claims")
+    pages = D.parse_pages(page_docs)
+    stats = D.with_page_stats(pages, D.existing_page(F.col("pages"))).drop("raw", "pages")
+    return lookup_join(features, stats, "title").na.fill(0)
+
+
 DEFAULTS = {c: "CAST(0 AS BIGINT)" for c in D.RAW_COUNTS} | {c: "false" for c in D.RAW_FLAGS}
 
 
@@ -152,15 +161,6 @@ def json_safe_defaults(v: Views):
     return features.select("qid", *order, *D.RAW_FLAGS)
 
 
-def raw_features_from_documents(v: Views) -> DataFrame:
-    """All raw features of every entity, from its own document and that of its page."""
-    found = entities(v).withColumn("title", D.title_of(F.col("sitelinks")))
-    pages = D.parse_pages(v.page_docs)
-    stats = D.with_page_stats(pages, D.existing_page(F.col("pages"))).drop("raw", "pages")
-    features = D.with_claim_features(found).drop("raw", "sitelinks", "claims")
-    return lookup_join(features, stats, "title").na.fill(0).select("qid", *D.RAW_FEATURES)
-
-
 @query(
     "SELECT concat('http://www.wikidata.org/entity/', qid) AS item, "
     + ", ".join(D.RAW_FEATURES)
@@ -170,6 +170,7 @@ def raw_features_from_documents(v: Views) -> DataFrame:
     + " FROM {nation}"
 )
 def raw_features_from_json(v: Views):
-    uris = v.entity_docs.select(F.concat(F.lit("http://www.wikidata.org/entity/"), "qid").alias("item"))
-    keyed = uris.withColumn("qid", entity_id_by_pattern(F.col("item")))
-    return lookup_join(keyed, raw_features_from_documents(v), "qid").select("item", *D.RAW_FEATURES)
+    uri = F.concat(F.lit("http://www.wikidata.org/entity/"), "qid")
+    documents = v.entity_docs.select(uri.alias("item"), "raw")
+    keyed = documents.withColumn("qid", entity_id_by_pattern(F.col("item")))
+    return raw_features(keyed, v.page_docs).select("item", *D.RAW_FEATURES)

@@ -40,17 +40,19 @@ GROUPS = ["g0", "g1", "g2"]
 
 def vectors(v: Views) -> DataFrame:
     """(vec_id, features, label, is_validation): all embeddings, stratified 80/20, stored once."""
+    return v.stored("vectors", lambda: split_vectors(v))
+
+
+def split_vectors(v: Views) -> DataFrame:
     labelled = v.table("embeddings").select(
         "vec_id", "embedding", F.concat(F.lit("g"), (F.col("label") % 3).cast("string")).alias("label")
     )
     split = S.stratified_split(labelled, "vec_id")
-    return cut_lineage(
-        split.select(
-            "vec_id",
-            array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-            "label",
-            (F.col("split") == "valid").alias("is_validation"),
-        )
+    return split.select(
+        "vec_id",
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+        "label",
+        (F.col("split") == "valid").alias("is_validation"),
     )
 
 
@@ -214,7 +216,7 @@ def ml_feature_set_ab(v: Views):
     # the vocabulary is fitted on the training half only
     docs = items.select("doc_id", "description")
     model = T.fit_idf(items.where("split = 'train'").select("doc_id", "description"), "doc_id", "description", 20)
-    vectors_ = T.tfidf_wide(docs, cut_lineage(model), "doc_id", "description", 20)
+    vectors_ = T.widened(docs, T.tfidf(docs, cut_lineage(model), "doc_id", "description"), "doc_id", 20)
     table = cut_lineage(
         X.engineer(X.with_default_features(lengths))
         .join(vectors_, "doc_id")

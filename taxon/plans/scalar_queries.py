@@ -398,11 +398,16 @@ def prob_expand(v: Views):
     return L.with_class_probabilities(v.preds, CLASSES).select("item", *[f"prob_{c}" for c in CLASSES])
 
 
-@query(f"SELECT item, {PROB_SQL} FROM {{preds}}")
+SOFTMAX_SQL = ", ".join(
+    r(f"exp(0.1 * hits[{i + 1}]) / list_sum(list_transform(hits, lambda h: exp(0.1 * h)))", f"prob_{c}")
+    for i, c in enumerate(CLASSES)
+)
+
+
+@query(f"SELECT item, {SOFTMAX_SQL} FROM {{preds}}")
 def prob_softmax(v: Views):
-    # the probabilities of the scorer are the softmax of log-counts
-    logits = F.transform("hits", lambda h: F.ln(h + 1))
-    scored = v.preds.select("item", L.softmax(logits).alias("probs"))
+    logits = F.transform("hits", lambda h: h * F.lit(0.1))
+    scored = v.preds.select("item", logits.alias("logits")).select("item", L.softmax(F.col("logits")).alias("probs"))
     return L.with_class_probabilities(scored, CLASSES).drop("probs")
 
 

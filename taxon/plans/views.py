@@ -7,12 +7,13 @@ need array functions have a DataFrame form here and a text form for the oracle.
 from __future__ import annotations
 
 import re
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxon.functions.labels import with_prediction
+from taxon.session import scratch_path, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -248,6 +249,11 @@ def _present(condition: Column, key: str, kind: str, times: Column) -> Column:
     return F.when(condition, F.struct(F.lit(key).alias("key"), F.array_repeat(statement, times.cast("int")).alias("value")))
 
 
+# (application, folder, view) -> stored table; predictions, features and documents are
+# products that the operators read from storage, so each is built once per session.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
     """The given tables of one folder and the views on them."""
 
@@ -266,15 +272,41 @@ class Views:
             return self.spark.sql(sql, **{d: self.view(d) for d in set(_depends_on(sql))})
         return getattr(self, name)
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Table written once to the shared folder; later reads prune its columns."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = scratch_path(self.spark, name)
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @property
     def items(self) -> DataFrame:
         return self.view("items")
 
     @property
     def raw_features(self) -> DataFrame:
-        return self.view("raw_features")
+        return self.stored("raw_features", lambda: self.view("raw_features"))
+
+    @property
+    def preds(self) -> DataFrame:
+        """Predictions of the first scorer."""
+        return self.stored("preds", self._score)
+
+    @property
+    def model_probs(self) -> DataFrame:
+        """One row per item with an array of class probabilities per scorer."""
+        return self.stored("model_probs", self._score_all)
+
+    @property
+    def entity_docs(self) -> DataFrame:
+        return self.stored("entity_docs", self._entity_docs)
+
+    @property
+    def page_docs(self) -> DataFrame:
+        return self.stored("page_docs", self._page_docs)
 
-    @cached_property
     def hits(self) -> DataFrame:
         """Evidence counts of the three scorers per item: a projection of the item table."""
         low = F.lower("description")
@@ -282,25 +314,21 @@ class Views:
         tokens = F.filter(F.split(low, "[^a-zà-ÿ]+"), lambda x: x.isin(known))
         letters = [F.length(low) - F.length(F.translate(low, LETTERS_C[c], "")) for c in CLASSES]
         return (
-            self.items.withColumn("tokens", tokens)
+            spread(self.items).withColumn("tokens", tokens)
             .withColumns({"hits_a": _hits(WORDS_A, "tokens"), "hits_b": _hits(WORDS_B, "tokens"), "hits_c": F.array(*letters)})
             .drop("tokens")
         )
 
-    @property
-    def preds(self) -> DataFrame:
-        """Predictions of the first scorer."""
-        scored = self.hits.select(
+    def _score(self) -> DataFrame:
+        scored = self.hits().select(
             "item", "name", "category", "type", "label", "doc_id", F.col("hits_a").alias("hits"),
             _probabilities("hits_a").alias("probs"),
         )
         return with_prediction(scored, CLASSES)
 
-    @property
-    def model_probs(self) -> DataFrame:
-        """One row per item with an array of class probabilities per scorer."""
+    def _score_all(self) -> DataFrame:
         scorers = F.array(*[_probabilities(h) for h in ("hits_a", "hits_b", "hits_c")])
-        return self.hits.select("item", "label", "doc_id", scorers.alias("model_probs"))
+        return self.hits().select("item", "label", "doc_id", scorers.alias("model_probs"))
 
     @property
     def model_preds(self) -> DataFrame:
@@ -311,8 +339,7 @@ class Views:
         ).withColumn("model", F.get(names, F.col("model_idx")))
         return with_prediction(long, CLASSES)
 
-    @property
-    def entity_docs(self) -> DataFrame:
+    def _entity_docs(self) -> DataFrame:
         """Entity documents: one nested JSON per fact row, and unreadable ones per nation."""
         k, user = F.col("k"), F.col("user_id")
         one = F.lit(1)
@@ -355,7 +382,7 @@ class Views:
         )
         sitelinks = F.map_from_entries(F.concat(numbered, named))
         entity = F.struct(sitelinks.alias("sitelinks"), claims.alias("claims"))
-        docs = self.view("facts").select(
+        docs = spread(self.view("facts")).select(
             "qid", F.to_json(F.struct(F.create_map("qid", entity).alias("entities"))).alias("raw")
         )
         nation = F.col("n_nationkey")
@@ -371,8 +398,7 @@ class Views:
         )
         return docs.unionByName(bad)
 
-    @property
-    def page_docs(self) -> DataFrame:
+    def _page_docs(self) -> DataFrame:
         """Page documents by title; a missing page has the id -1 and no content."""
         entry = F.struct(F.lit("x").alias("title"))
         many = lambda c: F.array_repeat(entry, F.col(c).cast("int"))
