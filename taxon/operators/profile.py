@@ -30,21 +30,32 @@ def value_counts(df: DataFrame, column: str = "label") -> DataFrame:
     return counts.withColumn("pct", _pct(F.col("count"), total)).where(F.col(column).isNotNull())
 
 
+def _per_column(df: DataFrame, columns: list[str], measures: dict[str, callable]) -> DataFrame:
+    """Aggregate all columns in one pass, then turn the single row into one row per column."""
+    aggregated = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[measure(F.col(c)).alias(f"{c}__{m}") for c in columns for m, measure in measures.items()],
+    )
+    rows = [
+        F.struct(F.lit(c).alias("feature"), F.col("rows"), *[F.col(f"{c}__{m}").alias(m) for m in measures])
+        for c in columns
+    ]
+    return aggregated.select(F.inline(F.array(*rows)))
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, extremes and non-zero share of each column, one row per column."""
-    long = df.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-        )
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    stats = _per_column(
+        doubles,
+        columns,
+        {"mean": F.avg, "min": F.min, "max": F.max, "nonzero": lambda c: F.count_if(c != 0)},
     )
-    stats = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count_if(F.col("value") != 0).alias("nonzero"),
-        F.count(F.lit(1)).alias("rows"),
+    long = doubles.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]))
     )
     median = exact_quantiles(long, "feature", "value", [0.5]).select("feature", F.col("quantile").alias("median"))
+    # one row per column on either side
     return stats.join(F.broadcast(median), "feature", "left").select(
         "feature",
         "mean",
@@ -56,19 +67,6 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _per_column(df: DataFrame, columns: list[str], measures: dict[str, callable]) -> DataFrame:
-    """Aggregate all columns in one pass, then turn the single row into one row per column."""
-    aggregated = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[measure(F.col(c)).alias(f"{c}__{m}") for c in columns for m, measure in measures.items()],
-    )
-    rows = [
-        F.struct(F.lit(c).alias("feature"), F.col("rows"), *[F.col(f"{c}__{m}").alias(m) for m in measures])
-        for c in columns
-    ]
-    return aggregated.select(F.inline(F.array(*rows)))
-
-
 def boolean_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = _per_column(df, columns, {"true_count": F.count_if})
     false_count = F.col("rows") - F.col("true_count")

@@ -50,8 +50,8 @@ def exact_quantiles(
     inside = F.exists(F.arrays_zip("low", "high"), lambda b: F.col("v").between(b["low"], b["high"]))
     counted = (
         rows.join(F.broadcast(brackets), key)
-        .select(key, "n", "low", "high", F.when(inside, F.col("v")).alias("v"), started.alias("started"))
-        .groupBy(key, "n", "low", "high", "v", "started")
+        .select(key, "n", "low", "high", F.when(inside, F.col("v")).alias("candidate"), started.alias("started"))
+        .groupBy(key, "n", "low", "high", "candidate", "started")
         .agg(F.count(F.lit(1)).alias("c"))
     )
 
@@ -63,7 +63,7 @@ def exact_quantiles(
         "c",
         F.get("low", F.col("i")).alias("lo"),
         F.get("high", F.col("i")).alias("hi"),
-        "v",
+        F.col("candidate").alias("v"),
         (F.col("started") <= F.col("i")).alias("starts_below"),
     )
     below = F.when(F.col("v").isNull(), F.col("starts_below")).otherwise(F.col("v") < F.col("lo"))

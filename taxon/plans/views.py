@@ -31,9 +31,9 @@ SHARED_SQL = {
     "items": """
         SELECT doc_id, concat('http://www.wikidata.org/entity/Q', CAST(doc_id AS STRING)) AS item,
                split_part(text, chr(10), 1) AS name, text AS description,
-               CASE WHEN n_chars % 2 = 0 THEN 'entity' ELSE 'concept' END AS type,
-               CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS category,
-               CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS subcategory,
+               CASE WHEN n_chars > 1500 THEN 'entity' ELSE 'concept' END AS type,
+               CASE WHEN source IN ('src11', 'src12', 'src13') THEN '' ELSE source END AS category,
+               CASE WHEN source = 'src7' THEN NULL ELSE lang END AS subcategory,
                lang AS label
         FROM {documents}""",
     "uris": """
@@ -44,12 +44,12 @@ SHARED_SQL = {
         FROM {events}""",
     "page_counts": """
         SELECT page_id, concat('P', CAST(page_id AS STRING)) AS title,
-               CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS missing,
+               CASE WHEN contains(url, '#') THEN 1 ELSE 0 END AS missing,
                CAST(length(html) AS BIGINT) AS page_length,
                CAST(length(html) - length(replace(html, '<li>', 'li>')) AS BIGINT) AS n_categories,
                CAST(length(html) - length(replace(html, 'href=', 'href')) AS BIGINT) AS n_links,
                page_id % 60 AS n_languages,
-               CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS located
+               CASE WHEN contains(url, '?') THEN 1 ELSE 0 END AS located
         FROM {pages}""",
     "claim_features": """
         SELECT qid, user_id, event_type,
