@@ -12,11 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Entity documents carry one string per key level so that one malformed branch (an empty
-# list where a map belongs) cannot take the other branch down with it.
-ENTITY_SCHEMA = "struct<entities: map<string, struct<sitelinks: string, claims: string>>>"
 SITELINKS_SCHEMA = "map<string, struct<title: string>>"
 CLAIMS_SCHEMA = "map<string, array<struct<mainsnak: struct<datatype: string>>>>"
+ENTITY_SCHEMA = f"struct<entities: map<string, struct<sitelinks: {SITELINKS_SCHEMA}, claims: {CLAIMS_SCHEMA}>>>"
 PAGE_MAP_SCHEMA = (
     "map<string, struct<length: bigint, missing: string, coordinates: string, "
     "categories: array<string>, extlinks: array<string>, langlinks: array<string>>>"
@@ -57,14 +55,9 @@ def parse_entity(df: DataFrame, raw: str = "raw", qid: str = "qid") -> DataFrame
     parsed = df.withColumn("_entity", entity)
     return parsed.withColumns(
         {
-            "sitelinks": F.coalesce(
-                F.from_json(F.col("_entity.sitelinks"), SITELINKS_SCHEMA),
-                F.from_json(F.lit("{}"), SITELINKS_SCHEMA),
-            ),
-            "claims": F.coalesce(
-                F.from_json(F.col("_entity.claims"), CLAIMS_SCHEMA),
-                F.from_json(F.lit("{}"), CLAIMS_SCHEMA),
-            ),
+            # a branch of the wrong kind (an empty list for a map) is NULL and leaves the other alone
+            "sitelinks": F.coalesce(F.col("_entity.sitelinks"), F.from_json(F.lit("{}"), SITELINKS_SCHEMA)),
+            "claims": F.coalesce(F.col("_entity.claims"), F.from_json(F.lit("{}"), CLAIMS_SCHEMA)),
         }
     ).drop("_entity")
 

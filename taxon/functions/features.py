@@ -292,8 +292,12 @@ def matrix_33(df: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def with_basic_features(df: DataFrame) -> DataFrame:
-    """The 29 columns that need no model fit: lengths, fixed one-hots, defaulted raw columns."""
-    df = with_text_lengths(df)
+    """The 29 columns that need no model fit: lengths, fixed one-hots, defaulted raw columns.
+
+    Lengths already present are kept: take them before a join, so that it moves no texts.
+    """
+    if "name_length" not in df.columns:
+        df = with_text_lengths(df)
     df = with_onehot_fixed(df, "type", TYPES, "type")
     df = with_onehot_fixed(df, "category", TOP_CATEGORIES, "cat")
     return with_default_features(df)
@@ -342,4 +346,7 @@ def matrix_73(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     df = with_interactions(df, THREE_WAY_INTERACTIONS)
     for family in (with_rule_scores, with_reach_flags, with_more_polynomials, with_language_bins):
         df = family(df)
-    return df.select(*keep, *[finite(_num(c)).alias(c) for c in FEATURES_73])
+    # only fractions can be NaN or infinite; counts and flags are merely filled
+    kinds = dict(df.dtypes)
+    clean = [finite(F.col(c)) if kinds[c] == "double" else F.coalesce(_num(c), F.lit(0.0)) for c in FEATURES_73]
+    return df.select(*keep, *[value.alias(c) for c, value in zip(FEATURES_73, clean)])

@@ -33,8 +33,8 @@ def entity_id_by_tail(uri: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of white-space separated words; empty and NULL text have none."""
-    words = F.split(strip(filled(c)), r"\s+")
-    return F.when(strip(filled(c)) == "", F.lit(0)).otherwise(F.size(words))
+    # splitting at single characters and dropping the empty parts beats matching runs
+    return F.coalesce(F.size(F.array_remove(F.split(c.cast("string"), f"[{WHITESPACE}]"), "")), F.lit(0))
 
 
 def truncated(c: Column, length: int = 500) -> Column:

@@ -7,6 +7,9 @@ outside the brackets into a few rows, and only the short bracket is ordered.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,53 +28,54 @@ def exact_quantiles(
     a wanted rank still fall outside, the query fails instead of answering wrongly.
     """
     probs = sorted(probs)
+    ids = range(len(probs))
     margin = 3.0 / accuracy
-    low = [max(p - margin, 0.0) for p in probs]
-    high = [min(p + margin, 1.0) for p in probs]
+    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     rows = df.select(key, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
 
     sketch = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-        F.percentile_approx("v", low, accuracy).alias("low"),
-        F.percentile_approx("v", high, accuracy).alias("high"),
+        F.percentile_approx("v", edges, accuracy).alias("edges"),
     )
     whole = F.col("n") <= accuracy
     brackets = sketch.select(
         key,
-        F.when(whole, F.transform("low", lambda _: F.col("min"))).otherwise(F.col("low")).alias("low"),
-        F.when(whole, F.transform("high", lambda _: F.col("max"))).otherwise(F.col("high")).alias("high"),
         "n",
+        *[F.when(whole, F.col("min")).otherwise(F.col("edges")[i]).alias(f"low{i}") for i in ids],
+        *[F.when(whole, F.col("max")).otherwise(F.col("edges")[len(probs) + i]).alias(f"high{i}") for i in ids],
     )
 
     # rows outside every bracket keep only how many brackets start at or below them
-    started = F.size(F.filter("low", lambda b: b <= F.col("v")))
-    inside = F.exists(F.arrays_zip("low", "high"), lambda b: F.col("v").between(b["low"], b["high"]))
+    inside = reduce(or_, [F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in ids])
+    started = reduce(add, [(F.col(f"low{i}") <= F.col("v")).cast("int") for i in ids])
     counted = (
         rows.join(F.broadcast(brackets), key)
-        .select(key, "n", "low", "high", F.when(inside, F.col("v")).alias("candidate"), started.alias("started"))
-        .groupBy(key, "n", "low", "high", "candidate", "started")
+        .select(key, F.when(inside, F.col("v")).alias("candidate"), started.alias("started"))
+        .groupBy(key, "candidate", "started")
         .agg(F.count(F.lit(1)).alias("c"))
     )
 
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("prob")) for i, p in enumerate(probs)])
-    per_prob = counted.select("*", F.inline(wanted)).select(
-        key,
-        "prob",
-        "n",
-        "c",
-        F.get("low", F.col("i")).alias("lo"),
-        F.get("high", F.col("i")).alias("hi"),
-        F.col("candidate").alias("v"),
-        (F.col("started") <= F.col("i")).alias("starts_below"),
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(p).alias("prob"),
+                F.col(f"low{i}").alias("low"),
+                F.col(f"high{i}").alias("high"),
+            )
+            for i, p in enumerate(probs)
+        ]
     )
-    below = F.when(F.col("v").isNull(), F.col("starts_below")).otherwise(F.col("v") < F.col("lo"))
+    per_prob = counted.join(F.broadcast(brackets), key).select(key, "n", "candidate", "started", "c", F.inline(wanted))
+    outside = F.col("candidate").isNull()
+    below = F.when(outside, F.col("started") <= F.col("i")).otherwise(F.col("candidate") < F.col("low"))
     # everything under the bracket becomes one NULL-valued row that sorts first
     blocks = (
         per_prob.withColumn("below", below)
-        .where(F.col("below") | (F.col("v").between(F.col("lo"), F.col("hi"))))
-        .groupBy(key, "prob", "n", F.when(~F.col("below"), F.col("v")).alias("v"))
+        .where(F.col("below") | F.col("candidate").between(F.col("low"), F.col("high")))
+        .groupBy(key, "prob", "n", F.when(~F.col("below"), F.col("candidate")).alias("v"))
         .agg(F.sum("c").alias("c"))
     )
     upto = F.sum("c").over(W.partitionBy(key, "prob").orderBy(F.col("v").asc_nulls_first()))

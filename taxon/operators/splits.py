@@ -36,12 +36,13 @@ def class_sizes(buckets: DataFrame, label: str) -> DataFrame:
 
 
 def hash_cuts(
-    df: DataFrame, buckets: DataFrame, ends: DataFrame, label: str, key: str, seed: int, digits: int = BUCKET_DIGITS
+    df: DataFrame, buckets: DataFrame, ends: DataFrame, few: bool, label: str, key: str, seed: int, digits: int
 ) -> DataFrame:
     """(label, cuts): the hash at which each part of a class ends.
 
     ``ends`` holds (label, part, end): the parts of each class in order with the rank at
     which they end. ``key`` must be unique; copies of a key share a hash and stay together.
+    ``few`` tells that the classes were counted and their cuts may be broadcast.
     """
     upto = F.sum("c").over(W.partitionBy(label).orderBy("bucket"))
     located = (
@@ -50,12 +51,10 @@ def hash_cuts(
         .where((F.col("upto") - F.col("c") < F.col("end")) & (F.col("end") <= F.col("upto")))
         .select(label, "part", "bucket", (F.col("end") - (F.col("upto") - F.col("c"))).alias("rest"))
     )
-    # one row per class and part
-    small = is_small(located, MAX_BROADCAST_CLASSES)
     hashed = df.select(label, seeded_hash(key, seed).alias("h")).withColumn("bucket", F.substring("h", 1, digits))
     # only rows of the located buckets remain; copies of a hash collapse into one
     candidates = (
-        hashed.join(F.broadcast(located) if small else located, [label, "bucket"])
+        hashed.join(F.broadcast(located) if few else located, [label, "bucket"])
         .groupBy(label, "part", "rest", "h")
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -69,9 +68,9 @@ def hash_cuts(
     )
 
 
-def _with_part(df: DataFrame, cuts: DataFrame, sizes: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+def _with_part(df: DataFrame, cuts: DataFrame, few: bool, label: str, key: str, seed: int) -> DataFrame:
     """Add ``part``, the number of cuts before the row; NULL for a row without a label."""
-    if is_small(sizes, MAX_BROADCAST_CLASSES):
+    if few:
         joined = df.join(F.broadcast(cuts), label, "left")
     else:
         joined = salted_join(df, cuts, label, "left")
@@ -97,8 +96,9 @@ def stratified_split(
         F.lit(0).alias("part"),
         (F.col("base") + (F.col("order") <= F.col("missing")).cast("int")).alias("end"),
     )
-    cuts = hash_cuts(df, buckets, ends, label, key, seed, digits)
-    tagged = _with_part(df, cuts, sizes, label, key, seed)
+    few = is_small(sizes, MAX_BROADCAST_CLASSES)
+    cuts = hash_cuts(df, buckets, ends, few, label, key, seed, digits)
+    tagged = _with_part(df, cuts, few, label, key, seed)
     split = F.when(F.col("part") == 0, F.lit("valid")).when(F.col("part") > 0, F.lit("train"))
     return tagged.withColumn("split", split).drop("part")
 
@@ -125,8 +125,9 @@ def stratified_folds(
     ends = per_fold.select(
         label, F.col("fold").alias("part"), F.sum("dealt").over(W.partitionBy(label).orderBy("fold")).alias("end")
     )
-    cuts = hash_cuts(df, buckets, ends, label, key, seed, digits)
-    return _with_part(df, cuts, sizes, label, key, seed).withColumnRenamed("part", "fold")
+    few = is_small(sizes, MAX_BROADCAST_CLASSES // folds)
+    cuts = hash_cuts(df, buckets, ends, few, label, key, seed, digits)
+    return _with_part(df, cuts, few, label, key, seed).withColumnRenamed("part", "fold")
 
 
 def tagged_union(train: DataFrame, valid: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ SCALED_SOURCE = r"""(SELECT s.item, s.split, f.* FROM {split_items} s
 )
 def ml_standard_scale(v: Views):
     items = S.stratified_split(v.items.select("doc_id", "item", "label"), "doc_id")
-    featured = attach_features(items, v.raw_features).select("item", "split", *SCALED)
+    # fitted on and transformed: joined once, kept as a checkpoint
+    featured = cut_lineage(attach_features(items, v.raw_features).select("item", "split", *SCALED))
     return fit_scaler(featured.where(F.col("split") == "train"), SCALED).transform(featured)
 
 
@@ -211,16 +212,15 @@ def ml_feature_set_ab(v: Views):
     items = S.stratified_split(
         v.items.select("doc_id", "item", "name", "description", "type", "label"), "doc_id", test_share=0.5
     )
-    enriched = attach_features(items, v.raw_features)
-    lengths = X.with_onehot_fixed(text.with_text_lengths(enriched), "type", X.TYPES, "type")
+    lengths = text.with_text_lengths(items).drop("name", "description")
+    enriched = attach_features(X.with_onehot_fixed(lengths, "type", X.TYPES, "type"), v.raw_features)
     # the vocabulary is fitted on the training half only
     docs = items.select("doc_id", "description")
     model = T.fit_idf(items.where("split = 'train'").select("doc_id", "description"), "doc_id", "description", 20)
     vectors_ = T.widened(docs, T.tfidf(docs, cut_lineage(model), "doc_id", "description"), "doc_id", 20)
     table = cut_lineage(
-        X.engineer(X.with_default_features(lengths))
+        X.engineer(X.with_default_features(enriched))
         .join(vectors_, "doc_id")
-        .drop("name", "description")
         .withColumn("is_validation", F.col("split") == "valid")
     )
     basic = ["name_length", "desc_length", "name_word_count", "desc_word_count", "type_entity", "type_concept"]

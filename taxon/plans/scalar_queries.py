@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from taxon.functions import features as X
 from taxon.functions import labels as L
 from taxon.functions import prompts, text
-from taxon.operators.joins import enrich_by_name
+from taxon.operators.joins import attach_features, enrich_by_name
 from taxon.operators.labels import alphabetical_ids, with_alphabetical_id, with_label_of_id
 from taxon.plans.registry import query, r
-from taxon.plans.views import CLASSES, LETTERS_C, Views  # noqa: F401
+from taxon.plans.views import CLASSES, Views
 
 # ---- strings
 
@@ -270,9 +270,8 @@ SQL_73 = {
     + r""" FROM (SELECT i.*, f.* FROM {items} i JOIN {raw_features} f ON f.qid = regexp_extract(i.item, 'Q\d+', 0))"""
 )
 def feat_matrix_73(v: Views):
-    from taxon.operators.joins import attach_features
-
-    return X.matrix_73(attach_features(v.items, v.raw_features), ["item"])
+    items = text.with_text_lengths(v.items).drop("name", "description")
+    return X.matrix_73(attach_features(items, v.raw_features), ["item"])
 
 
 @query("SELECT qid, " + ", ".join(r(SQL_33[c], c) for c in ("is_niche", "cultural_ratio", "num_languages")) + " FROM {raw_features}")
