@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,11 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="taxon-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a temporary one only in local mode."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
@@ -32,9 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="taxon-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    return _local_root()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
