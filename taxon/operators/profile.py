@@ -51,10 +51,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         columns,
         {"mean": F.avg, "min": F.min, "max": F.max, "nonzero": lambda c: F.count_if(c != 0)},
     )
-    long = doubles.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]))
-    )
-    median = exact_quantiles(long, "feature", "value", [0.5]).select("feature", F.col("quantile").alias("median"))
+    median = exact_quantiles(_long(doubles, columns), "feature", "value", [0.5]).select("feature", F.col("quantile").alias("median"))
     # one row per column on either side
     return stats.join(F.broadcast(median), "feature", "left").select(
         "feature",
@@ -67,6 +64,12 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value): one row per row and column."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def boolean_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = _per_column(df, columns, {"true_count": F.count_if})
     false_count = F.col("rows") - F.col("true_count")
@@ -97,21 +100,16 @@ def feature_means_by_label(df: DataFrame, means: list[str], flags: list[str], la
 
 def confidence_stats(df: DataFrame, confidence: str = "confidence") -> DataFrame:
     """One row: mean, sample deviation, extremes and exact quartiles."""
-    keyed = df.select(F.lit("all").alias("scope"), F.col(confidence).alias("value"))
+    stats = _per_column(df, [confidence], {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     quartiles = (
-        exact_quantiles(keyed, "scope", "value", [0.25, 0.5, 0.75])
-        .groupBy("scope")
+        exact_quantiles(_long(df, [confidence]), "feature", "value", [0.25, 0.5, 0.75])
+        .groupBy("feature")
         .pivot("prob", [0.25, 0.5, 0.75])
         .agg(F.first("quantile"))
-        .toDF("scope", "q25", "median", "q75")
-    )
-    stats = keyed.groupBy("scope").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        .toDF("feature", "q25", "median", "q75")
     )
-    return stats.join(F.broadcast(quartiles), "scope").drop("scope")
+    # a single row on either side
+    return stats.join(F.broadcast(quartiles), "feature").drop("feature", "rows")
 
 
 def confidence_stats_population(df: DataFrame, confidence: str = "confidence") -> DataFrame:
@@ -163,15 +161,14 @@ def crosstab(df: DataFrame, key: str, predicted: str = "predicted_label") -> Dat
 def top_key_crosstab(df: DataFrame, key: str = "category", predicted: str = "predicted_label", top: int = 10) -> DataFrame:
     """Crosstab over the most frequent keys; a blank among them still takes its place."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key, predicted).agg(F.count(F.lit(1)).alias("count"))
-    # counts is one row per key and class: both steps below run on it, not on the data
+    # from here on a row per key and class; a key's list is as long as there are classes
     leaders = (
         counts.groupBy(key)
-        .agg(F.sum("count").alias("total"))
+        .agg(F.sum("count").alias("total"), F.collect_list(F.struct(predicted, "count")).alias("classes"))
         .orderBy(F.desc("total"), key)
         .limit(top)
-        .where(F.col(key) != "")
     )
-    return counts.join(F.broadcast(leaders), key).select(key, "total", predicted, "count")
+    return leaders.where(F.col(key) != "").select(key, "total", F.inline("classes"))
 
 
 def enrichment_stats(enriched: DataFrame, original: str, description: str, found: str) -> DataFrame:

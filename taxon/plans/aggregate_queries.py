@@ -512,7 +512,8 @@ def tfidf_sql(body: str) -> str:
 
 @query(tfidf_sql(f"SELECT doc_id, term, CAST(position AS INTEGER) AS position, {r('tfidf', 'tfidf')} FROM cells"))
 def text_tfidf_topn(v: Views):
-    return T.fit_transform(spread(v.items.select("doc_id", "description")), "doc_id", "description")
+    docs = spread(v.items.select("doc_id", "description"))
+    return T.tfidf(docs, T.fit_idf(docs, "doc_id", "description"), "doc_id", "description")
 
 
 @query(
@@ -530,7 +531,7 @@ def text_tfidf_topn(v: Views):
 )
 def feat_basic_set(v: Views):
     docs = spread(v.items.select("doc_id", "description"))
-    vectors = T.widened(docs, T.fit_transform(docs, "doc_id", "description"), "doc_id")
+    vectors = T.widened(docs, T.tfidf(docs, T.fit_idf(docs, "doc_id", "description"), "doc_id", "description"), "doc_id")
     basic = text.with_text_lengths(v.items)
     basic = X.with_onehot_observed(basic, "type", "type")
     basic = X.with_onehot_observed(basic, "subcategory", "category")

@@ -216,7 +216,7 @@ def ml_feature_set_ab(v: Views):
     enriched = attach_features(X.with_onehot_fixed(lengths, "type", X.TYPES, "type"), v.raw_features)
     # the vocabulary is fitted on the training half only
     docs = items.select("doc_id", "description")
-    model = T.fit_idf(items.where("split = 'train'").select("doc_id", "description"), "doc_id", "description", 20)
+    model = T.fit_idf(items.where("split = 'train'"), "doc_id", "description", 20)
     vectors_ = T.widened(docs, T.tfidf(docs, cut_lineage(model), "doc_id", "description"), "doc_id", 20)
     table = cut_lineage(
         X.engineer(X.with_default_features(enriched))
