@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxon.llm import apportion, language_mixture, oph_minhash, weak_quality
+from taxon.llm import apportion, language_mixture, oph_minhash, vector_packing, weak_quality
 from taxon.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_oph_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"))
