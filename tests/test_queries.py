@@ -5,8 +5,9 @@ from compare import connect, differences
 from conftest import SF_DIR
 
 import __spark_entry__ as contract
+from taxon.plans import registry
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # scoring by a model outside the JVM is the one place that needs Python workers
 PYTHON_WORKERS = {"udf_batch_score"}
 
