@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxon.llm import apportion, language_mixture, oph_minhash, vector_packing, weak_quality
+from taxon.llm import (
+    apportion,
+    chat_parts,
+    factor_machine,
+    hilbert_search,
+    language_mixture,
+    license_notices,
+    merkle_audit,
+    oph_minhash,
+    vector_packing,
+    weak_quality,
+)
 from taxon.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +127,79 @@ def op10_oph_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"))
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(8 + length(role) + 1 + length(text) + 7
+                + len(regexp_extract_all(concat(role, chr(10), text), '[<\[]\x{2060}*(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\])'))
+                + 2 * (length(role) - length(replace(replace(role, '%', ''), chr(10), '')))) AS BIGINT) AS formatted_chars,
+       CAST(sum(ceil(strlen(text) / 4.0)) AS BIGINT) AS n_tokens
+FROM rows GROUP BY conv_id"""
+
+
+@query(CHAT_SQL)
+def op2_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"),
+    )
+    turns = rows.unionByName(probe).withColumn("parts", chat_parts.text_parts(F.col("text")))
+    return chat_parts.read_back(chat_parts.format_chats(turns))
+
+
+@query()
+def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = factor_machine.train(docs.filter(~held_out("doc_id")), labels.filter(~held_out("doc_id")), metadata=["n_chars"])
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), factor_machine.score(machine, "text", ["n_chars"]).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query()
+def op5_fuzzy_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_notices.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_notices"))
+
+
+@query()
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+MERKLE_SQL = r"""
+WITH laid AS (
+    SELECT page_id, page_id // 1000 AS archive,
+           concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:record:', CAST(page_id AS VARCHAR),
+                  '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+                  'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''),
+                  chr(13), chr(10), chr(13), chr(10)) AS content
+    FROM pages WHERE page_id IS NOT NULL),
+placed AS (
+    SELECT *, coalesce(sum(strlen(content)) OVER (PARTITION BY archive ORDER BY page_id, strlen(content)
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM laid),
+copied AS (
+    SELECT *, CASE WHEN page_id % 97 = 5 THEN concat(substring(content, 1, length(content) - 6), '?', substring(content, length(content) - 4)) ELSE content END AS copy,
+           page_id % 211 = 7 AS lost FROM placed)
+SELECT archive, CAST(place AS BIGINT) AS "offset", CASE WHEN lost THEN 'missing' ELSE 'changed' END AS finding,
+       sha256(content) AS left_digest, CASE WHEN NOT lost THEN sha256(copy) END AS right_digest
+FROM copied WHERE lost OR content <> copy"""
+
+
+@query(MERKLE_SQL)
+def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages against a replica in which some records have a byte changed and some are lost."""
+    records = merkle_audit.warc_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    damaged = F.concat(F.expr("substring(content, 1, length(content) - 6)"), F.lit("?"), F.expr("substring(content, length(content) - 4)"))
+    copy = records.filter(F.col("record_id") % 211 != 7).withColumn(
+        "content", F.when(F.col("record_id") % 97 == 5, damaged).otherwise(F.col("content"))
+    )
+    return merkle_audit.audit(merkle_audit.build(records, "left"), merkle_audit.build(copy, "right"))
