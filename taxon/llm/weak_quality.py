@@ -167,24 +167,55 @@ def fit_rules(patterns: DataFrame, n_rules: int, steps: int = 25, strength: floa
     turns against its meaning on little evidence.
     """
     prior, belief = 0.8, (0.98, 0.62)
-    model = RuleModel(prior, (belief,) * n_rules)
-    for _ in range(steps):
-        p = model.posterior(F.col("pattern"))
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum(F.col("n") * (1 - p)).alias("bad")]
-        for k in range(n_rules):
-            for vote, name in (("+", "pass"), ("-", "accuse")):
-                hit = F.when(F.substring("pattern", k + 1, 1) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * p).alias(f"{name}_good_{k}"), F.sum(hit * (1 - p)).alias(f"{name}_bad_{k}")]
-        row = {name: value or 0.0 for name, value in patterns.agg(*sums).first().asDict().items()}
-        passes = tuple(
-            tuple(
-                (row[f"pass_{side}_{k}"] + strength * own) / (row[f"pass_{side}_{k}"] + row[f"accuse_{side}_{k}"] + strength)
-                for side, own in zip(("good", "bad"), belief, strict=True)
-            )
-            for k in range(n_rules)
+    total = lambda rows, value: F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + value(x))
+
+    def log_odds(x: Column, state: Column) -> Column:
+        """Sum over the rules of what their votes say, from the prior on."""
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(n_rules - 1)),
+            F.log(state["prior"]) - F.log(1 - state["prior"]),
+            lambda acc, k: acc
+            + F.when(F.get(x["votes"], k) == "+", F.log(F.get(state["good"], k) / F.get(state["bad"], k)))
+            .when(F.get(x["votes"], k) == "-", F.log((1 - F.get(state["good"], k)) / (1 - F.get(state["bad"], k))))
+            .otherwise(0.0),
         )
-        model = RuleModel((row["good"] + strength * prior) / (row["good"] + row["bad"] + strength), passes)
-    return model
+
+    def expect(state: Column) -> Column:
+        """Each pattern's count, split into good and bad."""
+        share = lambda x: 1 / (1 + F.exp(-log_odds(x, state)))
+        split = F.transform(F.col("patterns"), lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] * share(x)).alias("g")))
+        return F.struct(state["prior"].alias("prior"), state["good"].alias("good"), state["bad"].alias("bad"), split.alias("split"))
+
+    def maximise(state: Column) -> Column:
+        """The parameters that the split counts, and the belief, make most likely."""
+
+        def rates(part, own: float) -> Column:
+            def rate(k: Column) -> Column:
+                vote = lambda x: F.get(x["votes"], k)
+                passed = total(state["split"], lambda x: F.when(vote(x) == "+", part(x)).otherwise(0.0))
+                voted = total(state["split"], lambda x: F.when(vote(x) != "0", part(x)).otherwise(0.0))
+                return (passed + strength * own) / (voted + strength)
+
+            return F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), rate)
+
+        good, n = total(state["split"], lambda x: x["g"]), total(state["split"], lambda x: x["n"])
+        return F.struct(
+            ((good + strength * prior) / (n + strength)).alias("prior"),
+            rates(lambda x: x["g"], belief[0]).alias("good"),
+            rates(lambda x: x["n"] - x["g"], belief[1]).alias("bad"),
+            state["split"].alias("split"),
+        )
+
+    one = F.struct(F.split("pattern", "").alias("votes"), F.col("n").cast("double").alias("n"))
+    listed = patterns.agg(F.array_sort(F.collect_list(one)).alias("patterns"))  # at most 3**n_rules entries
+    start = F.struct(
+        F.lit(prior).alias("prior"), F.array_repeat(F.lit(belief[0]), n_rules).alias("good"), F.array_repeat(F.lit(belief[1]), n_rules).alias("bad"),
+        F.transform("patterns", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), F.lit(0.0).alias("g"))).alias("split"),
+    )
+    turns = F.sequence(F.lit(1), F.lit(2 * steps))
+    fitted = F.aggregate(turns, start, lambda state, i: F.when(i % 2 == 1, expect(state)).otherwise(maximise(state)))
+    row = listed.select(fitted.alias("f")).select("f.prior", "f.good", "f.bad").first()
+    return RuleModel(row["prior"], tuple(zip(row["good"], row["bad"], strict=True)))
 
 
 def judged(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> tuple[DataFrame, dict[str, str]]:
@@ -216,7 +247,11 @@ def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, th
     join that would move every text.
     """
     out, names = judged(docs, text, rules)
-    passed = ~base_failed(names)
+    # A filter on computed columns would be pushed below them, its lambda functions then evaluating whole
+    # arrays for each element. One that also reads a row number stays where it is.
+    row = private("row")
+    out = out.withColumn(row, F.monotonically_increasing_id())
+    passed = (F.col(row) >= 0) & ~base_failed(names)
     model = fit_rules(patterns_of(out.filter(passed), names["votes"]), len(rules))
     good = passed & (model.posterior(F.col(names["votes"])) >= threshold)
     return out.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
