@@ -176,7 +176,8 @@ def language_of(model: LanguageModel, text: Column | str) -> Column:
                     parts.append((names[at], float(min(1.0, a[at])), len(kept), mixture))
             yield pd.DataFrame(parts, columns=["lang_pred", "score", "n_languages", "mixture"])
 
-    udf = F.pandas_udf(predict, "lang_pred string, score double, n_languages int, mixture string")
+    # declared nondeterministic, so that filters on its fields are not pushed below it and repeat it
+    udf = F.pandas_udf(predict, "lang_pred string, score double, n_languages int, mixture string").asNondeterministic()
     return udf(F.col(text) if isinstance(text, str) else text)
 
 
