@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from taxon.session import scratch_path
 
 CHUNK_CHARS = 1_000_000
+ROWS_PER_FILE = 250_000
 #: White space that separates words: space and the code points 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: a lost executor re-reads files."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: a lost executor re-reads files.
+
+    ``rows``, a known bound of the number of narrow rows, keeps small tables from many tiny files.
+    """
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,8 +4,8 @@ One hash per shingle fills the bins of a signature; empty bins borrow from a bin
 random probing meets first (optimal densification). Bands of bins make buckets. Inside a bucket the
 candidate edges form a star: every member is compared with one hub, so pairs grow with the members
 and not with their square. The hub is the member that meets most others over all its buckets, which
-finds the text that copies stem from. Members whose group the hub did not reach form a new, smaller
-star in the next round; rounds end with the first that links nothing. Every edge is confirmed on the
+finds the text that copies stem from. Members outside the hub's component form a new, smaller star in
+the next round; rounds end with the first that joins no two components. Every edge is confirmed on the
 full shingle sets.
 
 Copies with equal shingle sets are one node from the start and never become pairs.
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxon.llm.common import chunks, code_points, mixed, powers, private, run_hashes, runs, written
-from taxon.session import cut_lineage
 
 PROBES = 64
 
@@ -158,13 +157,16 @@ def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets share at least ``percent`` of their union."""
+    """The pairs ``a, b`` whose sets share at least ``percent`` of their union.
+
+    Either side grows with the corpus, so neither is broadcast; a hub with many pairs is split by AQE.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(right, "b")
-        .join(left, "a")
+        pairs.join(right.hint("merge"), "b")
+        .join(left.hint("merge"), "a")
         .filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("a", "b")
     )
@@ -181,39 +183,56 @@ def components(links: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = None
-    while (now := state(edges)) != before and now[0]:
+    before, now = None, state(edges)
+    while now != before and now[0]:
         before = now
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.filter("u <> v").distinct())
+        edges = written(small.filter("u <> v").distinct(), "edges", rows=2 * now[0])
+        now = state(edges)
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """``bucket, node, reach`` for buckets of two nodes or more; reach: how many members a node meets."""
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(placed.join(shared, "bucket"), "buckets")
-    reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
-    return members.join(reach, "node").select("bucket", "node", "reach")
+    """``bucket, node, n, label, reach`` for buckets of two nodes or more.
+
+    ``reach`` is how many members a node meets over its buckets, ``label`` its component, at first itself.
+    """
+    placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = written(placed.join(shared.hint("merge"), "bucket"), "buckets")
+    reach = members.groupBy("node").agg(F.sum("members").alias("reach"))
+    return members.join(reach, "node").select("bucket", "node", "n", F.col("node").alias("label"), "reach")
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """The member of each bucket with the greatest reach, ties to the smaller node."""
+    best = F.max(F.struct("reach", (-F.col("node")).alias("low"), "n", "label")).alias("top")
+    return members.groupBy("bucket").agg(best).select(
+        "bucket", (-F.col("top.low")).alias("a"), F.col("top.n").alias("a_n"), F.col("top.label").alias("a_label")
+    )
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Edge ``a, b`` from the hub ``a`` of each bucket to every other member."""
-    hub = members.groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("node")).alias("low"))).alias("top"))
-    return members.join(hub.select("bucket", (-F.col("top.low")).alias("a")), "bucket").filter("node <> a").select("a", F.col("node").alias("b"))
+def stars(members: DataFrame, percent: int) -> DataFrame:
+    """Edge ``a, b`` from the hub of each bucket to every member of another component.
+
+    Sets whose sizes alone rule the similarity out make no edge.
+    """
+    alike = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
+    edges = members.join(_hubs(members), "bucket").filter((F.col("label") != F.col("a_label")) & alike)
+    return edges.select("a", F.col("node").alias("b")).distinct()
 
 
 def unreached(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members that are not in their hub's component, of buckets where two or more remain."""
-    label = F.coalesce("component", F.col("node"))
-    rows = members.join(labels, "node", "left").select("bucket", "node", "reach", label.alias("label"))
-    hub = rows.groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("node")).alias("low"), "label")).alias("top"))
-    left = rows.join(hub, "bucket").filter(F.col("label") != F.col("top.label")).select("bucket", "node", "reach")
+    """Members outside their hub's component, with their components, of buckets where two or more remain."""
+    hubs = _hubs(members).select("bucket", "a")
+    now = F.coalesce("component", F.col("node"))
+    rows = members.join(labels, "node", "left").select("bucket", "node", "n", now.alias("label"), "reach")
+    hubs = hubs.join(labels, hubs["a"] == labels["node"], "left").select("bucket", F.coalesce("component", "a").alias("a_label"))
+    left = rows.join(hubs, "bucket").filter("label <> a_label").drop("a_label")
     return left.join(left.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi")
 
 
@@ -221,35 +240,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     """``doc_id, n_shingles, component_id, kept`` for each row."""
     signed = written(signed_documents(docs, key, text, banding), "signed")
     groups = written(
-        signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
+        signed.filter("n_shingles > 0")
+        .groupBy("set_key")
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "set-groups",
     )
-    members = written(bucket_members(groups.filter("node is not null").select("node", "bands")), "members")
-    candidates = members.select(F.col("node").alias(key)).distinct()
+    members = written(bucket_members(groups.filter("node is not null").select("node", "n", "bands")), "members")
+    candidates = members.select(F.col("node").alias(key)).distinct().hint("merge")
     sets = written(full_sets(docs.select(key, text).join(candidates, key, "left_semi"), key, text, banding.words), "sets")
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    while True:
-        found = written(confirmed(stars(members).distinct(), sets, banding.percent), "links")
+    while not members.isEmpty():
+        found = written(confirmed(stars(members, banding.percent), sets, banding.percent), "links")
         if labels is not None and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
+        labels = written(components(links), "labels", rows=2 * links.count())
         members = written(unreached(members, labels), "members")
-        if members.isEmpty():
-            break
-    named = groups.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("group_id"))
-    return signed.join(named, "set_key", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    if labels is None:
+        named = groups.select("set_key", F.col("node").alias("group_id"))
+    else:
+        named = groups.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("group_id"))
+    group = F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("doc_id"))
+    return (
+        signed.join(named.hint("merge"), "set_key", "left")
+        .select("doc_id", "n_shingles", group.alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    )
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", banding: Banding = Banding()) -> DataFrame:
     """One document of each group; columns as they came."""
     name = private("kept")
     kept = near_duplicates(docs, key, text, banding).filter("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs[key] == kept[name], "left_semi")
+    return docs.join(kept.hint("merge"), docs[key] == kept[name], "left_semi")
 
 
