@@ -23,11 +23,11 @@ def _tagged(tag: str, value: Column) -> Column:
 
 def prompt_plain(name: Column, description: Column) -> Column:
     """``name. description`` without outer white space."""
-    return strip(F.concat(name, F.lit(". "), description))
+    return strip(F.concat(filled(name), F.lit(". "), filled(description)))
 
 
 def _fields(name: Column, values: list[Column], present) -> Column:
-    parts = [_tagged("Item", name)]
+    parts = [_tagged("Item", filled(name))]
     # concat_ws leaves NULL parts out, so an absent field needs no branch of its own
     parts += [F.when(present(v), _tagged(tag, v)) for tag, v in zip(OPTIONAL_FIELDS, values)]
     return F.concat(F.concat_ws(". ", *parts), F.lit("."))
@@ -46,13 +46,13 @@ def prompt_fields_lenient(
 
 
 def prompt_template(name: Column, description: Column, category: Column, type_: Column) -> Column:
-    """Fixed lines; every field is printed."""
+    """Fixed lines; every field is printed, a missing one empty."""
     lines = [
         F.lit(TEMPLATE_HEAD),
-        _tagged("Name", name),
-        _tagged("Description", description),
-        _tagged("Category", category),
-        _tagged("Type", type_),
+        _tagged("Name", filled(name)),
+        _tagged("Description", filled(description)),
+        _tagged("Category", filled(category)),
+        _tagged("Type", filled(type_)),
     ]
     return strip(F.concat_ws("\n", *lines))
 
@@ -81,8 +81,8 @@ def prompt_enhanced(
         gloss = F.when(type_ == value, F.lit(f"Type: {text}")).otherwise(gloss)
     parts = F.concat_ws(
         ". ",
-        _tagged("Item", name),
-        _tagged("Description", description),
+        _tagged("Item", filled(name)),
+        _tagged("Description", filled(description)),
         gloss,
         F.when(category != "", _tagged("Category", category)),
         F.when(subcategory != "", _tagged("Subcategory", subcategory)),

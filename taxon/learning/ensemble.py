@@ -57,6 +57,7 @@ def fit_ensemble(
     validation: str = "is_validation",
 ) -> EnsembleModel:
     """Fit the members on the training rows and weight them by F1 on the validation rows."""
+    df = df.where(F.col(label).isNotNull() & F.col(validation).isNotNull())
     classes = classes_of(df, label)
     ids = {c: i for i, c in enumerate(classes)}
     train = df.where(~F.col(validation)).withColumn("label_id", label_to_id(F.col(label), ids).cast("double"))

@@ -18,7 +18,7 @@ from taxon.session import cut_lineage
 
 def fit_linear(df: DataFrame, classes: list[str], weight: str | None = None, max_iter: int = 50):
     ids = {c: i for i, c in enumerate(classes)}
-    encoded = df.withColumn("label_id", label_to_id(F.col("label"), ids).cast("double"))
+    encoded = df.where(F.col("label").isNotNull()).withColumn("label_id", label_to_id(F.col("label"), ids).cast("double"))
     learner = LogisticRegression(labelCol="label_id", family="multinomial", maxIter=max_iter, regParam=0.01)
     return (learner.setWeightCol(weight) if weight else learner).fit(encoded)
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from taxon.functions.labels import with_class_probabilities, with_prediction
 
 
-def batch_scorer(weights: np.ndarray, bias: np.ndarray, batch_size: int = 32):
+def batch_scorer(weights: np.ndarray, bias: np.ndarray, batch_size: int = 4096):
     """Arrow-batched scorer of a linear softmax model, built once per Python worker.
 
     The model (classes x features) is shipped with the function; its size does not depend
@@ -37,7 +37,7 @@ def batch_scorer(weights: np.ndarray, bias: np.ndarray, batch_size: int = 32):
 
 
 def score_table(
-    df: DataFrame, weights: np.ndarray, bias: np.ndarray, classes: list[str], column: str, batch_size: int = 32
+    df: DataFrame, weights: np.ndarray, bias: np.ndarray, classes: list[str], column: str, batch_size: int = 4096
 ) -> DataFrame:
     """Add predicted label, confidence and one probability per class."""
     scored = df.withColumn("probs", batch_scorer(weights, bias, batch_size)(column))

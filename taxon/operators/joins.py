@@ -6,49 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxon.functions.text import entity_id_by_pattern
-from taxon.session import is_small
 
-BROADCAST_ROWS = 50_000
-HOT_SHARE = 0.01
-SALTS = 64
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join to a table that is unique per key. Rows with a NULL key match nothing.
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most ``1 / share`` of them."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("count") > total * share).select(key)
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, share: float = HOT_SHARE, salts: int = SALTS):
-    """Equi-join that spreads every hot left key, and the NULL key, over many tasks.
-
-    The salt of a row is the input partition it sits in: copies of one row are spread as
-    well, and a re-run task gives each row the salt it had before. Only the rows of hot
-    keys are replicated on the right.
+    A plain equi-join: Spark broadcasts a side whose size in bytes allows it, and adaptive execution
+    splits the partitions of hot and NULL keys.
     """
-    # no more than 1 / share keys can be hot, so this side is bounded whatever the data
-    hot = F.broadcast(hot_keys(left, key, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    salted_left = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, key, "left").withColumn("_salt", F.explode(copies))
-    return salted_left.drop("_hot").join(salted_right.drop("_hot"), [key, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "left",
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join to a table that is unique per key: broadcast when small, salted otherwise."""
-    if is_small(right, max_broadcast_rows):
-        return left.join(F.broadcast(right), key, how)
-    return salted_join(left, right, key, how)
+    return left.join(right, key, how)
 
 
 def attach_features(items: DataFrame, features: DataFrame, item: str = "item", qid: str = "qid") -> DataFrame:
@@ -116,13 +82,18 @@ def resolve_names(
 
 
 def compare_versions(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: matched rows, mean text length in both versions and how many rows changed."""
-    joined = lookup_join(
-        before.select(key, F.col(text).alias("_before")), after.select(key, F.col(text).alias("_after")), key, "inner"
-    )
+    """One row: matched rows, mean text length in both versions and how many rows changed.
+
+    Texts are replaced by their length and digest before the join.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, F.length(text).alias(f"_{name}"), F.md5(text).alias(f"_{name}_digest"))
+
+    joined = lookup_join(side(before, "before"), side(after, "after"), key, "inner")
     return joined.agg(
         F.count(F.lit(1)).alias("matched_rows"),
-        F.avg(F.length("_before")).alias("avg_length_before"),
-        F.avg(F.length("_after")).alias("avg_length_after"),
-        F.count_if(F.col("_before") != F.col("_after")).alias("changed_rows"),
+        F.avg("_before").alias("avg_length_before"),
+        F.avg("_after").alias("avg_length_after"),
+        F.count_if(F.col("_before_digest") != F.col("_after_digest")).alias("changed_rows"),
     )

@@ -219,6 +219,45 @@ def full_report(df: DataFrame) -> DataFrame:
     )
 
 
+def flat_report(report: DataFrame) -> DataFrame:
+    """The nested evaluation as rows ``section, key, metric, value``; undefined values are left out."""
+
+    def rows(section: str, key: Column, values: dict[str, Column]) -> Column:
+        fields = [
+            F.struct(F.lit(section).alias("section"), key.alias("key"), F.lit(m).alias("metric"), x.cast("double").alias("value"))
+            for m, x in values.items()
+        ]
+        return F.array(*fields)
+
+    def of_map(name: str, values: list[str]) -> Column:
+        entries = F.map_entries(name)
+        return F.flatten(F.transform(entries, lambda e: rows(name, e["key"], {m: e["value"][m] for m in values})))
+
+    def of_cells(name: str, value: str) -> Column:
+        pair = lambda c: F.concat(c[LABEL], F.lit(">"), c[PREDICTED])
+        return F.flatten(F.transform(name, lambda c: rows(name, pair(c), {value: c[value]})))
+
+    def mistakes(e: Column) -> Column:
+        pairs = F.map_entries(e["value"]["misclassified_as"])
+        return F.flatten(F.transform(pairs, lambda p: rows("error_analysis", F.concat(e["key"], F.lit(">"), p["key"]), {"count": p["value"]})))
+
+    scores = report.schema["overall_metrics"].dataType.names
+    parts = [
+        rows("dataset", F.lit("all"), {"size": F.col("dataset_size")}),
+        rows("overall_metrics", F.lit("all"), {m: F.col(f"overall_metrics.{m}") for m in scores}),
+        of_map("per_class_metrics", ["precision", "recall", "f1", "support"]),
+        of_map("error_analysis", ["total_errors", "total_samples", "error_rate"]),
+        F.flatten(F.transform(F.map_entries("error_analysis"), mistakes)),
+        of_cells("confusion_matrix", "count"),
+        of_cells("confusion_matrix_normalized", "share"),
+        of_map("classification_report", ["precision", "recall", "f1", "support"]),
+    ]
+    return report.select(F.inline(F.concat(*[F.coalesce(p, F.array().cast(REPORT_ROWS)) for p in parts]))).where("value IS NOT NULL")
+
+
+REPORT_ROWS = "array<struct<section:string,key:string,metric:string,value:double>>"
+
+
 def log_loss(df: DataFrame, classes: list[str], probs: str = "probs") -> DataFrame:
     """Mean negative log-probability of the true class."""
     p_true = F.get(F.col(probs), (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(LABEL)) - 1).cast("int"))

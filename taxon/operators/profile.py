@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from taxon.operators.quantiles import exact_quantiles
+from taxon.operators.quantiles import ACCURACY, exact_quantiles
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -26,7 +26,8 @@ def class_distribution(df: DataFrame, split: str = "split", label: str = "label"
 def value_counts(df: DataFrame, column: str = "label") -> DataFrame:
     """Count of each value and its share of all rows, missing values included in the whole."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(W.partitionBy(F.lit(1)))
+    # a scalar subquery, as a column may have very many values
+    total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("pct", _pct(F.col("count"), total)).where(F.col(column).isNotNull())
 
 
@@ -43,7 +44,7 @@ def _per_column(df: DataFrame, columns: list[str], measures: dict[str, callable]
     return aggregated.select(F.inline(F.array(*rows)))
 
 
-def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], accuracy: int = ACCURACY) -> DataFrame:
     """Mean, median, extremes and non-zero share of each column, one row per column."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     stats = _per_column(
@@ -51,7 +52,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         columns,
         {"mean": F.avg, "min": F.min, "max": F.max, "nonzero": lambda c: F.count_if(c != 0)},
     )
-    median = exact_quantiles(_long(doubles, columns), "feature", "value", [0.5]).select("feature", F.col("quantile").alias("median"))
+    median = exact_quantiles(_long(doubles, columns), "feature", "value", [0.5], accuracy).select("feature", F.col("quantile").alias("median"))
     # one row per column on either side
     return stats.join(F.broadcast(median), "feature", "left").select(
         "feature",
@@ -98,11 +99,11 @@ def feature_means_by_label(df: DataFrame, means: list[str], flags: list[str], la
     )
 
 
-def confidence_stats(df: DataFrame, confidence: str = "confidence") -> DataFrame:
+def confidence_stats(df: DataFrame, confidence: str = "confidence", accuracy: int = ACCURACY) -> DataFrame:
     """One row: mean, sample deviation, extremes and exact quartiles."""
     stats = _per_column(df, [confidence], {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     quartiles = (
-        exact_quantiles(_long(df, [confidence]), "feature", "value", [0.25, 0.5, 0.75])
+        exact_quantiles(_long(df, [confidence]), "feature", "value", [0.25, 0.5, 0.75], accuracy)
         .groupBy("feature")
         .pivot("prob", [0.25, 0.5, 0.75])
         .agg(F.first("quantile"))

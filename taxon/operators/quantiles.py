@@ -1,8 +1,9 @@
-"""Exact quantiles in bounded task memory.
+"""Exact quantiles without a buffer of all distinct values.
 
 The built-in exact percentile keeps every distinct value in one buffer. Here a sketch
 brackets each wanted rank first; then one aggregation counts values, folding all those
-outside the brackets into a few rows, and only the short bracket is ordered.
+outside the brackets into a few rows, and only the short bracket is ordered. A bracket
+holds about ``8 / accuracy`` of the distinct values, so raise the accuracy with the data.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ def exact_quantiles(
     """(key, prob, quantile) with linear interpolation between neighbouring ranks.
 
     ``key`` takes few values fixed by the caller (feature names), so its table of brackets
-    is broadcast. The sketch is off by at most ``rows / accuracy`` ranks and the brackets
-    are three times as wide; up to ``accuracy`` rows the whole range is the bracket. Should
-    a wanted rank still fall outside, the query fails instead of answering wrongly.
+    is broadcast. The sketch is off by at most ``rows / accuracy`` ranks, a bound that does not
+    depend on chance, and the brackets are three times as wide, which leaves room for the
+    neighbouring ranks; up to ``accuracy`` rows the whole range is the bracket. So a wanted rank
+    lies inside; that is asserted, not assumed.
     """
     probs = sorted(probs)
     ids = range(len(probs))

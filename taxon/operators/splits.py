@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from taxon.operators.joins import salted_join
-from taxon.session import cut_lineage, is_small
+from taxon.operators.labels import MAX_CLASSES, bounded_classes
+from taxon.session import cut_lineage
 
 BUCKET_DIGITS = 4  # 65536 buckets per class
-MAX_BROADCAST_CLASSES = 10_000
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -31,18 +30,17 @@ def bucket_counts(df: DataFrame, label: str, key: str, seed: int, digits: int) -
     return cut_lineage(labelled.groupBy(label, bucket).agg(F.count(F.lit(1)).alias("c")))
 
 
-def class_sizes(buckets: DataFrame, label: str) -> DataFrame:
-    return buckets.groupBy(label).agg(F.sum("c").alias("n"))
+def class_sizes(buckets: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> DataFrame:
+    return bounded_classes(buckets.groupBy(label).agg(F.sum("c").alias("n")), max_classes)
 
 
 def hash_cuts(
-    df: DataFrame, buckets: DataFrame, ends: DataFrame, few: bool, label: str, key: str, seed: int, digits: int
+    df: DataFrame, buckets: DataFrame, ends: DataFrame, label: str, key: str, seed: int, digits: int
 ) -> DataFrame:
     """(label, cuts): the hash at which each part of a class ends.
 
     ``ends`` holds (label, part, end): the parts of each class in order with the rank at
     which they end. ``key`` must be unique; copies of a key share a hash and stay together.
-    ``few`` tells that the classes were counted and their cuts may be broadcast.
     """
     upto = F.sum("c").over(W.partitionBy(label).orderBy("bucket"))
     located = (
@@ -54,7 +52,7 @@ def hash_cuts(
     hashed = df.select(label, seeded_hash(key, seed).alias("h")).withColumn("bucket", F.substring("h", 1, digits))
     # only rows of the located buckets remain; copies of a hash collapse into one
     candidates = (
-        hashed.join(F.broadcast(located) if few else located, [label, "bucket"])
+        hashed.join(F.broadcast(located), [label, "bucket"])
         .groupBy(label, "part", "rest", "h")
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -68,12 +66,12 @@ def hash_cuts(
     )
 
 
-def _with_part(df: DataFrame, cuts: DataFrame, few: bool, label: str, key: str, seed: int) -> DataFrame:
-    """Add ``part``, the number of cuts before the row; NULL for a row without a label."""
-    if few:
-        joined = df.join(F.broadcast(cuts), label, "left")
-    else:
-        joined = salted_join(df, cuts, label, "left")
+def _with_part(df: DataFrame, cuts: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Add ``part``, the number of cuts before the row; NULL for a row without a label.
+
+    There is a row of cuts for each class, and the number of classes is bounded.
+    """
+    joined = df.join(F.broadcast(cuts), label, "left")
     h = seeded_hash(key, seed)
     part = F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda c: c < h)))
     return joined.withColumn("part", part).drop("cuts")
@@ -96,9 +94,8 @@ def stratified_split(
         F.lit(0).alias("part"),
         (F.col("base") + (F.col("order") <= F.col("missing")).cast("int")).alias("end"),
     )
-    few = is_small(sizes, MAX_BROADCAST_CLASSES)
-    cuts = hash_cuts(df, buckets, ends, few, label, key, seed, digits)
-    tagged = _with_part(df, cuts, few, label, key, seed)
+    cuts = hash_cuts(df, buckets, ends, label, key, seed, digits)
+    tagged = _with_part(df, cuts, label, key, seed)
     split = F.when(F.col("part") == 0, F.lit("valid")).when(F.col("part") > 0, F.lit("train"))
     return tagged.withColumn("split", split).drop("part")
 
@@ -125,9 +122,8 @@ def stratified_folds(
     ends = per_fold.select(
         label, F.col("fold").alias("part"), F.sum("dealt").over(W.partitionBy(label).orderBy("fold")).alias("end")
     )
-    few = is_small(sizes, MAX_BROADCAST_CLASSES // folds)
-    cuts = hash_cuts(df, buckets, ends, few, label, key, seed, digits)
-    return _with_part(df, cuts, few, label, key, seed).withColumnRenamed("part", "fold")
+    cuts = hash_cuts(df, buckets, ends, label, key, seed, digits)
+    return _with_part(df, cuts, label, key, seed).withColumnRenamed("part", "fold")
 
 
 def tagged_union(train: DataFrame, valid: DataFrame) -> DataFrame:

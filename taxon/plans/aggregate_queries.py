@@ -21,7 +21,7 @@ from taxon.plans.registry import query, r
 from taxon.plans.scalar_queries import ENRICHED_TEXT_SQL, LENGTHS_SQL
 from taxon.plans.source_queries import DISTRIBUTION_SQL, OVERALL_SQL, split_tables
 from taxon.plans.views import CLASSES, MODELS, Views, scores_by
-from taxon.session import spread
+from taxon.session import cut_lineage
 
 # ---- distributions and profiles
 
@@ -58,7 +58,7 @@ def agg_value_counts_pct(v: Views):
     )
 )
 def agg_numeric_profile(v: Views):
-    return P.numeric_profile(v.raw_features, D.RAW_COUNTS)
+    return P.numeric_profile(v.raw_features, D.RAW_COUNTS, accuracy=500)
 
 
 @query(
@@ -123,7 +123,7 @@ C = "confidence"
     + " FROM {preds}"
 )
 def agg_confidence_stats(v: Views):
-    return P.confidence_stats(v.preds)
+    return P.confidence_stats(v.preds, accuracy=250)
 
 
 @query(
@@ -289,9 +289,51 @@ def metric_error_breakdown(v: Views):
     return M.error_breakdown(v.preds)
 
 
-@query()
+ERRORS_SQL = """
+    SELECT label, predicted_label, n, sum(n) OVER (PARTITION BY label) AS total,
+           sum(CASE WHEN label <> predicted_label THEN n ELSE 0 END) OVER (PARTITION BY label) AS errors
+    FROM {confusion}"""
+
+
+def flat_sql(section: str, key: str, metrics: dict[str, str], source: str) -> str:
+    """Rows of one section of the flat report, a statement for each metric."""
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {key} AS key, '{m}' AS metric, {r(x, 'value')} FROM {source} WHERE ({x}) IS NOT NULL"
+        for m, x in metrics.items()
+    )
+
+
+SCORES = ["accuracy", "f1_macro", "f1_weighted", "precision_macro", "precision_weighted", "recall_macro", "recall_weighted", "cohen_kappa"]
+PER_CLASS = {"precision": "p", "recall": "r", "f1": "f", "support": "support"}
+PAIR = "concat(label, '>', predicted_label)"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            flat_sql("dataset", "'all'", {"size": "n"}, "(SELECT count(*) AS n FROM {preds})"),
+            flat_sql("overall_metrics", "'all'", {m: m for m in SCORES}, f"({OVERALL_SQL})"),
+            flat_sql("per_class_metrics", "class", PER_CLASS, "{class_scores}"),
+            flat_sql(
+                "error_analysis",
+                "label",
+                {"total_errors": "errors", "total_samples": "total", "error_rate": "100.0 * errors / total"},
+                f"(SELECT DISTINCT label, errors, total FROM ({ERRORS_SQL}) WHERE errors > 0)",
+            ),
+            flat_sql("error_analysis", PAIR, {"count": "n"}, "(SELECT * FROM {confusion} WHERE label <> predicted_label)"),
+            flat_sql("confusion_matrix", PAIR, {"count": "count"}, f"({CONFUSION_SQL})"),
+            flat_sql(
+                "confusion_matrix_normalized",
+                PAIR,
+                {"share": "CASE WHEN s = 0 THEN 0 ELSE count / CAST(s AS DOUBLE) END"},
+                f"(SELECT *, sum(count) OVER (PARTITION BY label) AS s FROM ({CONFUSION_SQL}))",
+            ),
+            flat_sql("classification_report", "class", {"precision": "precision", "recall": "recall", "f1": "f1", "support": "support"}, f"({REPORT_SQL})"),
+        ]
+    )
+)
 def metric_full_report(v: Views):
-    return M.full_report(v.preds)
+    return M.flat_report(M.full_report(v.preds))
 
 
 P_TRUE = "probs[CASE label WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 WHEN 'es' THEN 4 END]"
@@ -512,8 +554,9 @@ def tfidf_sql(body: str) -> str:
 
 @query(tfidf_sql(f"SELECT doc_id, term, CAST(position AS INTEGER) AS position, {r('tfidf', 'tfidf')} FROM cells"))
 def text_tfidf_topn(v: Views):
-    docs = spread(v.items.select("doc_id", "description"))
-    return T.tfidf(docs, T.fit_idf(docs, "doc_id", "description"), "doc_id", "description")
+    docs = v.items.select("doc_id", "description")
+    counts = cut_lineage(T.term_counts(docs, "doc_id", "description"))
+    return T.tfidf(counts, T.fit_idf(counts, docs.agg(F.count(F.lit(1))).scalar()), "doc_id")
 
 
 @query(
@@ -530,8 +573,9 @@ def text_tfidf_topn(v: Views):
     )
 )
 def feat_basic_set(v: Views):
-    docs = spread(v.items.select("doc_id", "description"))
-    vectors = T.widened(docs, T.tfidf(docs, T.fit_idf(docs, "doc_id", "description"), "doc_id", "description"), "doc_id")
+    docs = v.items.select("doc_id", "description")
+    counts = cut_lineage(T.term_counts(docs, "doc_id", "description"))
+    vectors = T.widened(docs, T.tfidf(counts, T.fit_idf(counts, docs.agg(F.count(F.lit(1))).scalar()), "doc_id"), "doc_id")
     basic = text.with_text_lengths(v.items)
     basic = X.with_onehot_observed(basic, "type", "type")
     basic = X.with_onehot_observed(basic, "subcategory", "category")

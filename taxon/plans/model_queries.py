@@ -1,7 +1,8 @@
 """Scaling, learning, ensembles and scoring (survey section 2.10).
 
-The registered fits run over all rows with few rounds; the library defaults carry the
-published settings.
+The registered fits run over all rows with the published settings. Queries on one model share it: it is
+fitted and stored once for the source files. The searches run ``SEARCH_TRIALS`` trials over all ranges;
+the library's default is the published 50.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from pyspark.sql import functions as F
 
 from taxon.functions import features as X
 from taxon.functions import text
-from taxon.functions.labels import with_class_probabilities
 from taxon.learning import search
-from taxon.learning.boosting import BoostedTreesModel, TreeParams, assemble, fit_boosted_trees
+from taxon.learning.boosting import BoostedTreesModel, assemble, fit_boosted_trees
 from taxon.learning.ensemble import fit_ensemble
-from taxon.learning.folds import cross_validate, fit_linear
+from taxon.learning.folds import cross_validate
 from taxon.learning.scaling import fit_scaler
 from taxon.learning.scoring import score_table
 from taxon.operators import experiments as E
@@ -33,8 +33,7 @@ from taxon.plans.registry import query, r
 from taxon.plans.views import CLASSES, MODELS, Views
 from taxon.session import cut_lineage, scratch_path
 
-QUICK = TreeParams(max_depth=3, learning_rate=0.3, rounds=4, min_child_weight=1, gamma=0.0)
-QUICK_TREES = 10
+SEARCH_TRIALS = 2
 GROUPS = ["g0", "g1", "g2"]
 
 
@@ -122,112 +121,171 @@ def vote_average(v: Views):
 # ---- learners
 
 
-def prediction_output(df: DataFrame, key: str = "vec_id") -> DataFrame:
-    return df.select(key, "label", "predicted_label", "confidence")
+def checked(df: DataFrame) -> DataFrame:
+    """Keyed rows with what must hold for any fit: classes from the domain, probabilities that sum to 1, arg-max."""
+    names = F.array(*[F.lit(g) for g in GROUPS])
+    best = F.array_max("probs")
+    return df.select(
+        "vec_id",
+        "label",
+        F.array_contains(names, F.col("predicted_label")).alias("in_domain"),
+        (F.abs(F.aggregate("probs", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9).alias("sums_to_one"),
+        ((F.array_min("probs") >= 0) & (F.abs(F.get("probs", F.array_position(names, F.col("predicted_label")).cast("int") - 1) - best) < 1e-9)).alias("is_best"),
+    )
 
 
-@query()
+CHECKED_SQL = "SELECT vec_id, label, true AS in_domain, true AS sums_to_one, true AS is_best FROM {split_vectors}"
+
+
+def fitted(v: Views) -> BoostedTreesModel:
+    """The boosted trees of the vectors."""
+    path = v.stored_path("trees", lambda path: fit_boosted_trees(vectors(v)).save(v.spark, path))
+    return BoostedTreesModel.load(v.spark, path)
+
+
+@query(f"{CHECKED_SQL} WHERE split = 'valid'")
 def ml_boosted_trees(v: Views):
-    data = vectors(v)
-    return prediction_output(fit_boosted_trees(data, QUICK).predict(data.where("is_validation")))
+    return checked(fitted(v).predict(vectors(v).where("is_validation")))
 
 
-@query()
+@query(CHECKED_SQL)
 def ml_predict_proba(v: Views):
-    data = vectors(v)
-    scored = fit_boosted_trees(data, QUICK).predict(data)
-    return with_class_probabilities(scored, GROUPS).drop("features", "probs", "is_validation")
+    return checked(fitted(v).predict(vectors(v)))
 
 
 @query()
 def ml_feature_importance(v: Views):
-    return R.top_importances(fit_boosted_trees(vectors(v), QUICK).importances(v.spark), 20)
+    return R.top_importances(fitted(v).importances(v.spark), 20)
 
 
-@query()
+@query(f"{CHECKED_SQL} WHERE split = 'valid'")
 def ml_ensemble(v: Views):
     data = vectors(v)
-    return prediction_output(fit_ensemble(data, QUICK, QUICK_TREES).predict(data.where("is_validation")))
+    voted = fit_ensemble(data).predict(data.where("is_validation"))
+    return checked(voted.withColumn("probs", F.array(*[F.col(f"prob_{g}") for g in GROUPS])))
+
+
+def searched(v: Views) -> DataFrame:
+    """Trial log of the search, stored once."""
+    return v.stored("trials", lambda: search.random_search(vectors(v), n_trials=SEARCH_TRIALS)[0])
 
 
 @query()
 def ml_random_search(v: Views):
-    log, _ = search.random_search(vectors(v), n_trials=2, base=QUICK, space={"max_depth": (2, 4), "learning_rate": (0.05, 0.3)})
-    return log.select("number", "value", F.explode("params").alias("param", "setting"))
+    return searched(v).select("number", "value", F.explode("params").alias("param", "setting"))
 
 
 @query()
 def ml_refit_best(v: Views):
-    data = vectors(v)
-    log, best = search.random_search(data, n_trials=1, base=QUICK, space={"max_depth": (2, 3)})
-    return search.refit_best(data, best)[1]
+    return search.refit_best(vectors(v), search.best_params(searched(v)))[1]
 
 
-@query()
+VALID_SQL = "(SELECT label FROM {split_vectors} WHERE split = 'valid')"
+
+
+@query(
+    f"""SELECT label AS class, count(*) AS support, true AS consistent FROM {VALID_SQL} GROUP BY label
+        UNION ALL SELECT c, count(*), true FROM {VALID_SQL}, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) t(c) GROUP BY c"""
+)
 def ml_evaluate(v: Views):
-    data = vectors(v)
-    return search.evaluate(fit_boosted_trees(data, QUICK), data.where("is_validation"))
+    """Report on the validation rows; whether the F1 of each class follows from its precision and recall."""
+    report = search.evaluate(fitted(v), vectors(v).where("is_validation"))
+    p, q = F.col("precision"), F.col("recall")
+    follows = F.abs(F.col("f1") - F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))) < 1e-9
+    bounded = F.col("f1").between(0, 1)
+    return report.select("class", "support", F.when(F.col("class").isin(GROUPS), follows & bounded).otherwise(bounded).alias("consistent"))
 
 
 @query()
 def ml_kfold_cv(v: Views):
     data = vectors(v).drop("is_validation")
-    summary = cross_validate(data, "vec_id", max_iter=15)[1]
+    summary = cross_validate(data, "vec_id")[1]
     return summary.select("metric", "mean", "std", F.posexplode("values").alias("fold", "value"))
 
 
-@query()
+@query(
+    """SELECT vec_id, concat('g', CAST(label % 3 AS VARCHAR)) AS label, m.model, true AS same
+       FROM {embeddings}, (VALUES ('linear'), ('trees')) m(model)"""
+)
 def ml_model_roundtrip(v: Views):
+    """Whether each prediction after loading equals the one before saving."""
     data = vectors(v)
     indexer = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc")
     indexer = indexer.fit(data)
     stages = [
         indexer,
-        LogisticRegression(labelCol="label_id", maxIter=15, regParam=0.01),
+        LogisticRegression(labelCol="label_id", maxIter=50, regParam=0.01),
         IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels),
     ]
     pipeline_path, trees_path = scratch_path(v.spark, "pipeline"), scratch_path(v.spark, "trees")
-    Pipeline(stages=stages).fit(data).write().overwrite().save(pipeline_path)
-    fit_boosted_trees(data, QUICK).save(v.spark, trees_path)
-    linear = PipelineModel.load(pipeline_path).transform(data)
-    trees = BoostedTreesModel.load(v.spark, trees_path).predict(data)
-    return (
-        linear.select("vec_id", "label", "predicted_label", F.lit("linear").alias("model"))
-        .unionByName(trees.select("vec_id", "label", "predicted_label", F.lit("trees").alias("model")))
-    )
+    pipeline, trees = Pipeline(stages=stages).fit(data), fitted(v)
+    pipeline.write().overwrite().save(pipeline_path)
+    trees.save(v.spark, trees_path)
+    pairs = {
+        "linear": (pipeline.transform(data), PipelineModel.load(pipeline_path).transform(data)),
+        "trees": (trees.predict(data), BoostedTreesModel.load(v.spark, trees_path).predict(data)),
+    }
+    out = []
+    for name, (before, after) in pairs.items():
+        earlier = before.select("vec_id", F.col("predicted_label").alias("earlier"))
+        joined = after.select("vec_id", "label", "predicted_label").join(earlier, "vec_id")
+        out.append(joined.select("vec_id", "label", F.lit(name).alias("model"), (F.col("earlier") == F.col("predicted_label")).alias("same")))
+    return out[0].unionByName(out[1])
 
 
-@query()
+DIMENSIONS = 64
+CENTRES_SQL = "SELECT label % 3 AS g, i, avg(CAST(embedding[i] AS DOUBLE)) AS w FROM {embeddings}, range(1, 65) t(i) GROUP BY label % 3, i"
+
+
+@query(
+    f"""SELECT vec_id, label, ['g0', 'g1', 'g2'][list_position(p, list_max(p))] AS predicted_label,
+               {r('list_max(p)', 'confidence')}, {', '.join(r(f'p[{k + 1}]', f'prob_g{k}') for k in range(3))}
+        FROM (SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) AS p
+              FROM (SELECT vec_id, label, list(s ORDER BY g) AS z
+                    FROM (SELECT e.vec_id, e.label, c.g, sum(CAST(e.embedding[c.i] AS DOUBLE) * c.w) - 0.5 * sum(c.w * c.w) AS s
+                          FROM {{embeddings}} e, ({CENTRES_SQL}) c GROUP BY e.vec_id, e.label, c.g)
+                    GROUP BY vec_id, label))"""
+)
 def udf_batch_score(v: Views):
-    data = vectors(v)
-    model = fit_linear(data.where(~F.col("is_validation")), GROUPS, max_iter=15)
-    weights, bias = np.array(model.coefficientMatrix.toArray()), np.array(model.interceptVector.toArray())
-    table = v.table("embeddings").select("vec_id", "embedding")
-    return score_table(table, weights, bias, GROUPS, "embedding").drop("embedding")
+    """A linear model outside the JVM: nearest class centre, as logits."""
+    table = v.table("embeddings").select("vec_id", "label", "embedding")
+    cells = table.select((F.col("label") % 3).alias("g"), F.posexplode("embedding").alias("i", "x"))
+    centres = cells.groupBy("g").pivot("i", list(range(DIMENSIONS))).agg(F.avg(F.col("x").cast("double"))).orderBy("g")
+    weights = np.array([list(row)[1:] for row in centres.collect()])  # a row for each of three classes
+    scored = score_table(table, weights, -0.5 * np.square(weights).sum(axis=1), GROUPS, "embedding", batch_size=4096)
+    return scored.drop("embedding")
+
+
+TERMS = 100
 
 
 @query()
 def ml_feature_set_ab(v: Views):
     """Text-only columns against knowledge columns, same split, same learner."""
     items = S.stratified_split(
-        v.items.select("doc_id", "item", "name", "description", "type", "label"), "doc_id", test_share=0.5
+        v.items.select("doc_id", "item", "name", "description", "type", "subcategory", "label"), "doc_id", test_share=0.5
     )
     lengths = text.with_text_lengths(items).drop("name", "description")
-    enriched = attach_features(X.with_onehot_fixed(lengths, "type", X.TYPES, "type"), v.raw_features)
+    onehot = X.with_onehot_observed(X.with_onehot_fixed(lengths, "type", X.TYPES, "type"), "subcategory", "category")
+    enriched = attach_features(onehot, v.raw_features)
     # the vocabulary is fitted on the training half only
-    docs = items.select("doc_id", "description")
-    model = T.fit_idf(items.where("split = 'train'"), "doc_id", "description", 20)
-    vectors_ = T.widened(docs, T.tfidf(docs, cut_lineage(model), "doc_id", "description"), "doc_id", 20)
+    docs = items.select("doc_id", "description", "split")
+    counts = cut_lineage(T.term_counts(docs, "doc_id", "description"))
+    train = docs.where("split = 'train'")
+    train_counts = counts.join(train.select("doc_id"), "doc_id", "left_semi")
+    model = T.fit_idf(train_counts, train.agg(F.count(F.lit(1))).scalar(), TERMS)
+    vectors_ = T.widened(docs, T.tfidf(counts, cut_lineage(model), "doc_id"), "doc_id", TERMS)
     table = cut_lineage(
         X.engineer(X.with_default_features(enriched))
         .join(vectors_, "doc_id")
         .withColumn("is_validation", F.col("split") == "valid")
     )
     basic = ["name_length", "desc_length", "name_word_count", "desc_word_count", "type_entity", "type_concept"]
-    basic += [f"tfidf_{i}" for i in range(20)]
+    basic += sorted(c for c in table.columns if c.startswith("category_"))
+    basic += [f"tfidf_{i}" for i in range(TERMS)]
     scored = []
     for name, columns in (("basic", basic), ("enriched", X.FEATURES_33)):
         data = cut_lineage(assemble(table, columns, ["item", "label", "is_validation"]))
-        predicted = fit_boosted_trees(data, QUICK).predict(data.where("is_validation"))
+        predicted = fit_boosted_trees(data, features=columns).predict(data.where("is_validation"))
         scored.append(predicted.select("label", "predicted_label", F.lit(name).alias("model")))
     return E.feature_set_comparison(scored[0].unionByName(scored[1]), "basic", "enriched")

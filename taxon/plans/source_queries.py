@@ -25,8 +25,11 @@ ITEM_COLUMNS = [*tables.REQUIRED_COLUMNS, "label"]
 )
 def src_csv_roundtrip(v: Views):
     path = scratch_path(v.spark, "items-csv")
-    sinks.write_delimited(v.items.select(*ITEM_COLUMNS), path)
-    return tables.read_csv(v.spark, path)
+    # two files whose columns stand in different orders; descriptions hold line breaks
+    items = v.items.select(*ITEM_COLUMNS)
+    sinks.write_delimited(items.where(F.col("type") == "entity"), f"{path}/entity")
+    sinks.write_delimited(items.where(F.col("type") != "entity").select(*reversed(ITEM_COLUMNS)), f"{path}/concept")
+    return tables.read_csv(v.spark, [f"{path}/entity", f"{path}/concept"], multi_line=True)
 
 
 @query(
@@ -37,7 +40,8 @@ def src_glob_union(v: Views):
     root = scratch_path(v.spark, "labels-csv")
     items = v.items.select("item", "type", F.col("subcategory").alias("label"))
     for kind in ("entity", "concept"):
-        sinks.write_delimited(items.where(F.col("type") == kind).drop("type"), f"{root}/{kind}")
+        order = ["item", "label"] if kind == "entity" else ["label", "item"]
+        sinks.write_delimited(items.where(F.col("type") == kind).select(*order), f"{root}/{kind}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("item", "label")])
     pooled = tables.read_labels(v.spark, [f"{root}/entity", f"{root}/concept"], schema=schema)
     kind = F.regexp_extract("file", "/(entity|concept)/[^/]*$", 1)
@@ -49,7 +53,9 @@ def src_glob_union(v: Views):
        FROM {items}"""
 )
 def src_required_columns(v: Views):
-    partial = v.items.select("item", "name", "description", "subcategory")
+    path = scratch_path(v.spark, "partial-csv")
+    sinks.write_delimited(v.items.select("subcategory", "item", "description", "name"), path)
+    partial = tables.read_csv(v.spark, path, multi_line=True)
     return tables.with_required_columns(partial).select(*tables.REQUIRED_COLUMNS)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxon.functions.labels import with_prediction
-from taxon.session import scratch_path, spread
+from taxon.session import scratch_path
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -190,6 +190,10 @@ ORACLE_SQL = {
 }
 
 
+ORACLE_SQL["vector_rows"] = "SELECT vec_id, concat('g', CAST(label % 3 AS VARCHAR)) AS label FROM {embeddings}"
+ORACLE_SQL["split_vectors"] = ORACLE_SQL["split_items"].replace("{items}", "{vector_rows}").replace("doc_id", "vec_id")
+
+
 def scores_by(source: str, by: str) -> str:
     """Class scores per group, as a subquery over a view with label and predicted_label."""
     return f"""
@@ -249,9 +253,9 @@ def _present(condition: Column, key: str, kind: str, times: Column) -> Column:
     return F.when(condition, F.struct(F.lit(key).alias("key"), F.array_repeat(statement, times.cast("int")).alias("value")))
 
 
-# (application, folder, view) -> stored table; predictions, features and documents are
-# products that the operators read from storage, so each is built once per session.
-_STORED: dict[tuple[str, str, str], str] = {}
+# (application, source files, name) -> stored table or model; predictions, features and documents are
+# products that the operators read from storage, so each is built once for the files it comes from.
+_STORED: dict[tuple, str] = {}
 
 
 class Views:
@@ -260,6 +264,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._state: int | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -272,14 +277,26 @@ class Views:
             return self.spark.sql(sql, **{d: self.view(d) for d in set(_depends_on(sql))})
         return getattr(self, name)
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Table written once to the shared folder; later reads prune its columns."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+    def source_state(self) -> int:
+        """Digest of the paths, sizes and times of all source files; lists them without reading any."""
+        if self._state is None:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.sf_dir)
+            mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+            self._state = files.select("path", "modificationTime", "length").agg(F.sum(mark)).first()[0]
+        return self._state
+
+    def stored_path(self, name: str, write: Callable[[str], None]) -> str:
+        """Path in the shared folder that ``write`` fills once for the present source files."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.source_state(), name)
         if key not in _STORED:
             path = scratch_path(self.spark, name)
-            build().write.parquet(path)
+            write(path)
             _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+        return _STORED[key]
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Table written once to the shared folder; later reads prune its columns."""
+        return self.spark.read.parquet(self.stored_path(name, lambda path: build().write.parquet(path)))
 
     @property
     def items(self) -> DataFrame:
@@ -291,13 +308,22 @@ class Views:
 
     @property
     def preds(self) -> DataFrame:
-        """Predictions of the first scorer."""
-        return self.stored("preds", self._score)
+        """Predictions of the first scorer: a projection of the stored evidence."""
+        scored = self.evidence.select(
+            "item", "name", "category", "type", "label", "doc_id", F.col("hits_a").alias("hits"), _probabilities("hits_a").alias("probs")
+        )
+        return with_prediction(scored, CLASSES)
 
     @property
     def model_probs(self) -> DataFrame:
         """One row per item with an array of class probabilities per scorer."""
-        return self.stored("model_probs", self._score_all)
+        scorers = F.array(*[_probabilities(h) for h in ("hits_a", "hits_b", "hits_c")])
+        return self.evidence.select("item", "label", "doc_id", scorers.alias("model_probs"))
+
+    @property
+    def evidence(self) -> DataFrame:
+        """Evidence counts of all scorers, from one pass over the texts."""
+        return self.stored("evidence", self.hits)
 
     @property
     def entity_docs(self) -> DataFrame:
@@ -314,21 +340,10 @@ class Views:
         tokens = F.filter(F.split(low, "[^a-zà-ÿ]+"), lambda x: x.isin(known))
         letters = [F.length(low) - F.length(F.translate(low, LETTERS_C[c], "")) for c in CLASSES]
         return (
-            spread(self.items).withColumn("tokens", tokens)
+            self.items.withColumn("tokens", tokens)
             .withColumns({"hits_a": _hits(WORDS_A, "tokens"), "hits_b": _hits(WORDS_B, "tokens"), "hits_c": F.array(*letters)})
-            .drop("tokens")
-        )
-
-    def _score(self) -> DataFrame:
-        scored = self.hits().select(
-            "item", "name", "category", "type", "label", "doc_id", F.col("hits_a").alias("hits"),
-            _probabilities("hits_a").alias("probs"),
+            .drop("tokens", "description", "subcategory", "low")
         )
-        return with_prediction(scored, CLASSES)
-
-    def _score_all(self) -> DataFrame:
-        scorers = F.array(*[_probabilities(h) for h in ("hits_a", "hits_b", "hits_c")])
-        return self.hits().select("item", "label", "doc_id", scorers.alias("model_probs"))
 
     @property
     def model_preds(self) -> DataFrame:
@@ -382,7 +397,7 @@ class Views:
         )
         sitelinks = F.map_from_entries(F.concat(numbered, named))
         entity = F.struct(sitelinks.alias("sitelinks"), claims.alias("claims"))
-        docs = spread(self.view("facts")).select(
+        docs = self.view("facts").select(
             "qid", F.to_json(F.struct(F.create_map("qid", entity).alias("entities"))).alias("raw")
         )
         nation = F.col("n_nationkey")

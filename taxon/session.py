@@ -51,17 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return df.checkpoint()
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when the frame holds at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give work-heavy row expressions every core when the input has fewer splits than that.
-
-    A large input already has more splits than cores and is passed through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

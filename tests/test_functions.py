@@ -293,3 +293,13 @@ def test_page_stats(spark):
     assert first["en_page_length"] == 0
     empty = pages(spark, {"query": {"pages": []}})
     assert D.with_page_stats(empty, D.existing_page(F.col("pages"))).first()["en_page_length"] == 0
+
+
+def test_unicode_white_space_and_null_fields(spark):
+    pad = chr(160) + chr(0x2003)
+    df = spark.createDataFrame([(f"{pad}a{pad}b{pad}", None)], "s string, n string")
+    assert df.select(T.strip(F.col("s")), T.word_count(F.col("s"))).first() == (f"a{pad}b", 2)
+    n = F.col("n")
+    got = df.select(P.prompt_template(F.lit("x"), n, n, F.lit("t")), P.prompt_fields(n, n, n, n, n), P.prompt_enhanced(F.lit("x"), n, n, n, n, F.lit(10))).first()
+    assert got[0].split("\n")[1:] == ["Name: x", "Description: ", "Category: ", "Type: t"]
+    assert got[1].startswith("Item: .") and got[2].startswith("Item: x. Description: . ")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from taxon.operators import joins as J
 from taxon.operators.augment import augment_texts
+from taxon.operators.labels import alphabetical_ids
 from taxon.operators.splits import seeded_hash, stratified_folds, stratified_split
 
 
@@ -23,17 +24,20 @@ def lookup(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
-def test_salted_join_equals_plain_join(spark, how):
+def test_lookup_join_runs_no_job_and_stays_plain(spark, how):
     left, right = skewed(spark), lookup(spark)
-    plain = Counter(map(tuple, left.join(right, "key", how).collect()))
-    salted = J.salted_join(left, right, "key", how, salts=7)
-    assert Counter(map(tuple, salted.select(*left.join(right, "key", how).columns).collect())) == plain
-    by_check = J.lookup_join(left, right, "key", how, max_broadcast_rows=0)
-    assert by_check.count() == sum(plain.values())
-
-
-def test_hot_keys_are_found_and_bounded(spark):
-    assert [r[0] for r in J.hot_keys(skewed(spark), "key", share=0.1).collect()] == ["hot"]
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    joined = J.lookup_join(left, right, "key", how)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before and plan.count("Join") == 1
+    assert Counter(map(tuple, joined.collect())) == Counter(map(tuple, left.join(right, "key", how).collect()))
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.range(12).select(F.col("id").cast("string").alias("label"))
+    assert alphabetical_ids(df, max_classes=12).count() == 12
+    with pytest.raises(Exception, match="more than 11 classes"):
+        alphabetical_ids(df, max_classes=11).collect()
 
 
 def test_coverage_counts_and_failure(spark):

@@ -24,7 +24,7 @@ def items(spark):
 def test_quotes_and_line_breaks_survive(spark, items, sep):
     path = scratch_path(spark, "t")
     sinks.write_delimited(items, path, sep)
-    assert sorted(map(tuple, tables.read_csv(spark, path, sep=sep).collect())) == ITEMS
+    assert sorted(map(tuple, tables.read_csv(spark, path, sep=sep, multi_line=True).collect())) == ITEMS
 
 
 def test_labels_are_pooled_and_checked(spark, items):
@@ -41,6 +41,26 @@ def test_labels_are_pooled_and_checked(spark, items):
         tables.read_labels(spark, [other], schema=schema)
 
 
+def test_columns_go_by_name_in_every_file(spark):
+    root = scratch_path(spark, "t")
+    spark.createDataFrame([("X", "i1", "n1")], "label string, item string, name string").write.option("header", True).csv(f"{root}/a")
+    spark.createDataFrame([("i2", "Y")], "item string, label string").write.option("header", True).csv(f"{root}/b")
+    rows = tables.read_csv(spark, [f"{root}/a", f"{root}/b"]).collect()
+    assert {(r["item"], r["name"], r["label"]) for r in rows} == {("i1", "n1", "X"), ("i2", None, "Y")}
+    assert sorted(r["label"] for r in tables.read_labels(spark, [f"{root}/*"]).collect()) == ["X", "Y"]
+    spark.createDataFrame([("i3", "notalabel")], "item string, other string").write.option("header", True).csv(f"{root}/c")
+    with pytest.raises(ValueError, match="column label not found in .*/c/"):
+        tables.read_labels(spark, [f"{root}/a", f"{root}/c"])
+
+
+def test_absent_columns_are_reported_by_the_reader(spark):
+    root = scratch_path(spark, "t")
+    spark.createDataFrame([("n", "i")], "name string, item string").write.option("header", True).csv(root)
+    df = tables.read_csv(spark, root)
+    assert df.columns == ["item", "name"]
+    assert tables.with_required_columns(df).first().asDict() == {c: {"item": "i", "name": "n"}.get(c, "") for c in ["item", "name", *tables.REQUIRED_COLUMNS[2:]]}
+
+
 def test_required_columns(spark):
     df = spark.createDataFrame([("u", None)], "item string, name string")
     assert tables.with_required_columns(df).first().asDict() == {"item": "u", **{c: "" for c in tables.REQUIRED_COLUMNS[1:]}}

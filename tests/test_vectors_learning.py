@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from taxon.learning import search
-from taxon.learning.boosting import BoostedTreesModel, TreeParams, fit_boosted_trees
+from taxon.learning.boosting import BoostedTreesModel, TreeParams, best_round, fit_boosted_trees
 from taxon.learning.ensemble import fit_ensemble
 from taxon.learning.folds import cross_validate
 from taxon.learning.scaling import fit_scaler
@@ -38,7 +38,8 @@ def brute_force(texts, top):
 def test_tfidf_against_brute_force(spark, top):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     expected, vocab = brute_force(TEXTS, top)
-    cells = T.tfidf(df, T.fit_idf(df, "id", "text", top), "id", "text")
+    counts = T.term_counts(df, "id", "text")
+    cells = T.tfidf(counts, T.fit_idf(counts, len(TEXTS), top), "id")
     rows = cells.collect()
     assert {(r["id"], r["term"]) for r in rows} == set(expected)
     for r in rows:
@@ -82,6 +83,31 @@ def test_boosted_trees_predict_save_and_rank_features(spark, blobs):
     assert again.exceptAll(model.predict(blobs).select("id", "predicted_label", "confidence")).count() == 0
 
 
+def test_boosting_goes_on_at_the_published_settings(spark):
+    """More than one tree for each class and more than one node for each tree, and better than a constant."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        x = rng.uniform(-1, 1, 3)
+        label = "a" if x[0] * x[1] > 0.05 else "b" if x[2] > 0 else None if i % 40 == 0 else "c"
+        rows.append((label, [float(v) for v in x], None if i % 50 == 1 else i % 4 == 0))
+    df = spark.createDataFrame(rows, "label string, x array<double>, is_validation boolean")
+    data = cut_lineage(df.withColumn("features", array_to_vector("x")))
+    model = fit_boosted_trees(data, TreeParams(rounds=60))
+    assert model.classes == ["a", "b", "c"]
+    for one in model.models:
+        assert len(one.trees) > 1 and min(t.numNodes for t in one.trees) > 1
+    scored = model.predict(data.where("is_validation and label is not null")).collect()
+    right = np.mean([r["label"] == r["predicted_label"] for r in scored])
+    assert right > 0.2 + max(np.mean([r["label"] == c for r in scored]) for c in "abc")
+
+
+def test_patience_counts_rounds_without_gain():
+    assert best_round([5, 4, 3, 3.5, 3.2, 2], 3) == (6, False)
+    assert best_round([5, 4, 3, 3.5, 3.2, 2], 2) == (3, True)
+    assert best_round([1, 2, 3], 50) == (1, False)
+
+
 def test_ensemble_weights_and_votes(blobs):
     model = fit_ensemble(blobs, PARAMS, trees=5)
     assert len(model.weights) == 3 and all(0 < w <= 1 for w in model.weights)
