@@ -181,7 +181,7 @@ def language_of(model: LanguageModel, text: Column | str) -> Column:
     return udf(F.col(text) if isinstance(text, str) else text)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, min_share: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, min_share: float = 0.3) -> DataFrame:
     """Rows whose main language is known and holds ``min_share`` of the words; columns as they came."""
     name = private("language")
     scored = docs.withColumn(name, language_of(model, "text"))
