@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
 
 from taxon.learning import search
 from taxon.learning.boosting import BoostedTreesModel, TreeParams, best_round, fit_boosted_trees
