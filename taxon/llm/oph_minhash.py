@@ -5,8 +5,9 @@ random probing meets first (optimal densification). Bands of bins make buckets.
 candidate edges form a star: every member is compared with one hub, so pairs grow with the members
 and not with their square. The hub is the member that meets most others over all its buckets, which
 finds the text that copies stem from. Members outside the hub's component form a new, smaller star in
-the next round; rounds end with the first that joins no two components. Every edge is confirmed on the
-full shingle sets.
+the next round; rounds end with the first that joins no two components. What buckets then still hold of
+several components is joined exactly: two sets that are alike share one of their rarest shingles. Every
+edge is confirmed on the full shingle sets.
 
 Copies with equal shingle sets are one node from the start and never become pairs.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from taxon.llm.common import chunks, code_points, mixed, powers, private, run_hashes, runs, written
 
 PROBES = 64
+SALTED = 256  # rows of a shingle for each salt
 
 
 @dataclass(frozen=True)
@@ -236,6 +238,50 @@ def unreached(members: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(left.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi")
 
 
+def untested(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label`` in buckets that stars do not settle: three members or more of several components."""
+    rows = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    mixed_up = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = mixed_up.filter("all > 2 and low <> high").select("bucket")
+    return rows.join(open_, "bucket", "left_semi").select("node", "label").distinct()
+
+
+def rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, label, place``: the rarest shingles of each set, one of which every similar set shares.
+
+    ``place`` counts from 0 over the whole set, rarest first. Shingles of one set alone come first and match
+    nothing, so they are counted but not listed.
+    """
+    own = sets.join(nodes.hint("merge"), "node").withColumn("part", F.xxhash64("shingles")).dropDuplicates(["node", "part"])
+    cut = own.select("node", "label", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = cut.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = cut.join(often.hint("merge"), "token").groupBy("node", "label", "part", "n")
+    ordered = shared.agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
+    placed = ordered.select("node", "label", "n", F.size("own").alias("m"), F.posexplode("own").alias("at", "s"))
+    placed = placed.select(F.col("s.token").alias("token"), "node", "n", "label", (F.col("n") - F.col("m") + F.col("at")).alias("place"))
+    return placed.filter(F.col("place") <= F.col("n") - F.floor((percent * F.col("n") + 99) / 100))
+
+
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of two components that may share ``percent`` of their union; no such pair is left out.
+
+    Members of the most frequent component of a shingle are not paired with each other, and a frequent
+    shingle is dealt over many tasks.
+    """
+    rare = written(rare_shingles(nodes, sets, percent), "rare")
+    by_label = rare.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    hot = by_label.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels"))
+    hot = hot.filter("labels > 1").select("token", "top", F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
+    rows = written(rare.join(hot.hint("merge"), "token"), "rare-shared")
+    right = rows.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "label", "place")], F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+    left = rows.filter("label <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    common = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))  # at most, if this shingle is the first
+    alike = 100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")
+    may = (F.col("label") != F.col("label_2")) & alike & ((100 + percent) * common >= percent * (F.col("n") + F.col("n_2")))
+    pairs = left.join(right.hint("merge"), ["token", "salt"]).filter(may)
+    return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", banding: Banding = Banding()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row."""
     signed = written(signed_documents(docs, key, text, banding), "signed")
@@ -250,6 +296,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     sets = written(full_sets(docs.select(key, text).join(candidates, key, "left_semi"), key, text, banding.words), "sets")
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    everyone = members
     while not members.isEmpty():
         found = written(confirmed(stars(members, banding.percent), sets, banding.percent), "links")
         if labels is not None and found.isEmpty():
@@ -257,6 +304,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels", rows=2 * links.count())
         members = written(unreached(members, labels), "members")
+    if links is not None and labels is not None:
+        left = written(untested(everyone, labels), "untested")
+        found = written(confirmed(rare_pairs(left, sets, banding.percent), sets, banding.percent), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = written(components(links), "labels", rows=2 * links.count())
     if labels is None:
         named = groups.select("set_key", F.col("node").alias("group_id"))
     else:

@@ -191,6 +191,33 @@ def test_near_duplicates_against_all_pairs(spark, seed):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(part))
 
 
+def sourceless(seed, copies, edits, size=200):
+    """Copies of a text that is not there, each pair at about the bound, and versions edited from versions."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    source, texts = [word() for _ in range(size)], []
+    for _ in range(copies):
+        own = list(source)
+        for at in rng.sample(range(size), rng.choice(edits)):
+            own[at] = word()
+        texts.append(" ".join(own))
+    version = [word() for _ in range(size)]
+    for _ in range(copies):
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            version[rng.randrange(size)] = word()
+        texts.append(" ".join(version))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_duplicates_without_a_source(spark, seed):
+    texts = sourceless(seed, 300, [2, 3, 4])
+    _, part = brute_components(texts)
+    got = rows_of(oph_minhash.near_duplicates(documents(spark, texts)))
+    assert [got[k].component_id for k in range(len(texts))] == part
+
+
 def test_near_duplicates_of_nothing_null_ids_and_repeated_rows(spark, empty):
     assert oph_minhash.near_duplicates(empty).count() == 0
     rows = [(None, ENGLISH), (None, ENGLISH), (5, ENGLISH), (5, ENGLISH), (7, GERMAN), (None, "only here")]
