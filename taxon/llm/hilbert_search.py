@@ -9,8 +9,9 @@ Recall depends on the window: where vectors have no low-dimensional structure, n
 widely over any curve, and the window must span a fair share of the table (see the README for figures).
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another
-length than most vectors take no part. A query is never its own neighbour; rows that repeat an id count
-once. Ties go to the smaller id. With fewer candidates than ``k`` all are returned. Columns other than
+length than the vectors of most ids take no part. A query is never its own neighbour. Rows that repeat an
+id count once, with the least of their vectors (compared component by component), and as a query if one of
+them is. Ties go to the smaller id. With fewer candidates than ``k`` all are returned. Columns other than
 the named ones are ignored.
 """
 
@@ -91,12 +92,15 @@ def search(
     """``query_id, rank, vec_id, score`` of the nearest rows found for each query."""
     rows = table.select(F.col(key).cast("long").alias("vec_id"), is_query.alias("is_query"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.filter(_usable(F.col("v")) & F.col("vec_id").isNotNull()).withColumn("is_query", F.coalesce("is_query", F.lit(False)))
-    lengths = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    # repeated rows would take the places of other neighbours
+    one = rows.groupBy("vec_id", F.size("v").alias("size")).agg(F.max("is_query").alias("is_query"), F.min("v").alias("v"))
+    rows = written(one, "vectors")
+    lengths = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     out = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return table.sparkSession.createDataFrame([], out)
     size, total = lengths["size"], lengths["count"]
-    rows = rows.filter(F.size("v") == size)
+    rows = rows.filter(F.col("size") == size).drop("size")
     frames, shifts = _directions(size, setting)
     curves, dims = shifts.shape
     flat = np.moveaxis(frames, 0, 1).reshape(size, curves * dims)
