@@ -3,7 +3,8 @@
 A notice of m letters that is allowed k edits is split into k + 1 pieces; wherever it occurs with at
 most k edits, one piece occurs unchanged (pigeonhole). One automaton looks for the pieces of all
 notices at once; around each hit the regex library matches the whole notice with bounded errors, which
-verifies the edits and gives the span. Exact phrases of words are found on the way.
+verifies the edits and gives the span. Where matches overlap, a longer notice wins over one that lies
+within it, then the one with the fewest edits, then the longest. Exact phrases of words are found on the way.
 
 Text is compared as words of ASCII digits, ASCII letters in lower case and all other characters beyond
 ASCII, joined by single spaces.
@@ -14,6 +15,7 @@ alike. Columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -77,6 +79,26 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def resolved(found: set[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """``label, start, end, edits`` of matches that do not overlap, of matches that also hold their notice's length."""
+    by_start = sorted(found, key=lambda x: x[1])
+    starts = [x[1] for x in by_start]
+    widest = max((x[2] - x[1] for x in found), default=0)
+    most = max((x[3] for x in found), default=0)
+
+    def within_longer(one: tuple[str, int, int, int, int]) -> bool:
+        """The edits of the longer match may fall on its ends."""
+        near = by_start[bisect_left(starts, one[2] - widest - most) : bisect_right(starts, one[1] + most)]
+        return any(x[4] > one[4] and x[1] - x[3] <= one[1] and one[2] <= x[2] + x[3] for x in near)
+
+    kept: list[tuple[int, int, str, int]] = []
+    for label, start, end, edits, _ in sorted(found, key=lambda x: (within_longer(x), x[3], x[1] - x[2], x[1], x[0])):
+        at = bisect_left(kept, (start,))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+            insort(kept, (start, end, label, edits))
+    return [(label, start, end, edits) for start, end, label, edits in kept]
+
+
 class Scanner:
     """Built once in each Python worker."""
 
@@ -110,30 +132,16 @@ class Scanner:
     def fuzzy(self, norm: bytes) -> list[tuple[str, int, int, int]]:
         """``label, start, end, edits`` of each verified notice, as offsets in the normalised text."""
         flat = norm.decode("latin-1")  # one character for each byte
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: set[tuple[int, int]] = set()
         for end, (size, own) in self.automaton.iter(flat):
-            for k, at in own:
-                notice, _, edits, _ = self.notices[k]
-                low = end + 1 - size - at - edits
-                windows.setdefault(k, []).append((max(0, low), low + len(notice) + 2 * edits))
-        found = []
-        for k, spans in windows.items():
+            windows.update((k, end + 1 - size - at - self.notices[k][2]) for k, at in own)
+        found = set()
+        for k, low in windows:  # each alone: the best match of a wider one hides those before it
             notice, label, edits, pattern = self.notices[k]
-            merged: list[list[int]] = []
-            for low, high in sorted(spans):
-                if merged and low <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], high)
-                else:
-                    merged.append([low, high])
-            for low, high in merged:
-                for m in pattern.finditer(flat, low, min(high, len(flat))):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-        # where notices overlap, the one with the fewest edits, then the longest, is meant
-        kept: list[tuple[str, int, int, int]] = []
-        for one in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
-            if all(one[2] <= low or high <= one[1] for _, low, high, _ in kept):
-                kept.append(one)
-        return sorted(kept, key=lambda x: x[1])
+            m = pattern.search(flat, max(0, low), min(low + len(notice) + 2 * edits, len(flat)))
+            if m:
+                found.add((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
+        return resolved(found)
 
     def scan(self, text: str | None) -> tuple:
         norm, n_words = normalise(text or "")
