@@ -8,6 +8,10 @@ from taxon.llm import apportion, language_mixture, oph_minhash, vector_packing,
 from taxon.llm.common import held_out, written
 
 
+# Copies are alike from 80 % of their shingles on; a pair at 0.8 shares no band once in 190 million times.
+NEAR = oph_minhash.Banding(bands=48, rows=5, percent=80)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose main language is known."""
     model = language_mixture.fit_languages(docs.filter(~held_out("doc_id")))
@@ -21,7 +25,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return oph_minhash.keep_first(docs)
+    return oph_minhash.keep_first(docs, banding=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
