@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 # The columns of an item table.
 REQUIRED_COLUMNS = ["item", "name", "description", "type", "category", "subcategory"]
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder of rows without a partition value
 ITEM_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [*REQUIRED_COLUMNS, "label"]])
 
 
@@ -86,11 +87,13 @@ def with_required_columns(df: DataFrame, columns: list[str] = REQUIRED_COLUMNS)
 
 
 def latest_snapshot(df: DataFrame, snapshot: str = "snapshot") -> DataFrame:
-    """Rows of the lexicographically last snapshot.
+    """Rows of the lexicographically last snapshot; nulls are none.
 
-    On a table partitioned by ``snapshot`` the last one is found among the folder names and the filter
-    prunes the others before anything is read; any other table is scanned for the maximum.
+    On a table partitioned by ``snapshot`` the last one is found among the folder names, read with the type
+    of the column, and the filter prunes the others before anything is read; any other table is scanned for
+    the maximum.
     """
-    folders = {unquote(m[1]) for f in df.inputFiles() if (m := re.search(rf"/{re.escape(snapshot)}=([^/]+)/", f))}
-    last = F.lit(max(folders)) if folders else df.agg(F.max(F.col(snapshot).cast("string"))).scalar()
+    folders = {unquote(m[1]) for f in df.inputFiles() if (m := re.search(rf"/{re.escape(snapshot)}=([^/]+)/", f))} - {NULL_FOLDER}
+    values = [F.lit(name).try_cast(df.schema[snapshot].dataType).cast("string") for name in sorted(folders)]
+    last = F.greatest(*values, *values[:1]) if values else df.agg(F.max(F.col(snapshot).cast("string"))).scalar()
     return df.where(F.col(snapshot).cast("string") == last)
