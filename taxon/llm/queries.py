@@ -13,6 +13,7 @@ from taxon.llm import (
     factor_machine,
     hilbert_search,
     language_mixture,
+    lexical_search,
     license_notices,
     merkle_audit,
     oph_minhash,
@@ -203,3 +204,38 @@ def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "content", F.when(F.col("record_id") % 97 == 5, damaged).otherwise(F.col("content"))
     )
     return merkle_audit.audit(merkle_audit.build(records, "left"), merkle_audit.build(copy, "right"))
+
+
+SEARCH_SQL = r"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS row,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+totals AS (SELECT CAST(count(*) FILTER (WHERE len(terms) > 0) AS BIGINT) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d),
+tokens AS (SELECT row, len(terms) AS n, unnest(terms) AS term FROM d),
+postings AS (SELECT term, row, CAST(count(*) AS BIGINT) AS tf, CAST(any_value(n) AS BIGINT) AS n FROM tokens GROUP BY term, row),
+freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+impacts AS (
+    SELECT p.term, p.row,
+           CAST(floor(1000 * ln((2.0 * t.big_n + 2) / (2.0 * f.df + 1))) AS BIGINT)
+           * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * t.big_n) // t.big_l))) AS impact
+    FROM postings p JOIN freq f USING (term), totals t),
+scores AS (
+    SELECT a.item_id, i.row, sum(i.impact) AS score FROM asked a JOIN impacts i USING (term) GROUP BY a.item_id, i.row),
+ranked AS (
+    SELECT s.item_id, d.doc_id, s.score,
+           row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, d.doc_id NULLS LAST, s.row) AS rank
+    FROM scores s JOIN d USING (row) WHERE s.score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 50"""
+
+
+@query(SEARCH_SQL)
+def op11_accumulator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents, 50 best each, term at a time with limited accumulators."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
