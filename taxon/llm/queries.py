@@ -17,6 +17,7 @@ from taxon.llm import (
     license_notices,
     merkle_audit,
     oph_minhash,
+    va_clustering,
     vector_packing,
     weak_quality,
 )
@@ -239,3 +240,50 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS
 def op11_accumulator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item against all documents, 50 best each, term at a time with limited accumulators."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _kmeans_sql(rounds: int = 3, k: int = 16, dims: int = 64) -> str:
+    """DuckDB SQL of the clustering: seeds, then ``rounds`` of assignment and update, then one more assignment."""
+    dist = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    parts = [
+        f"""v AS (
+    SELECT row_number() OVER () AS rk, vec_id,
+           list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = {dims}
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"""c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY seed NULLS LAST, q) - 1 AS INTEGER) AS cluster, q
+    FROM (SELECT q, sha256('1:' || CAST(vec_id AS VARCHAR)) AS seed FROM v ORDER BY seed NULLS LAST, q LIMIT {k}))""",
+    ]
+    for r in range(1, rounds + 2):
+        parts.append(
+            f"""a{r} AS (
+    SELECT v.vec_id, v.q, arg_min(c.cluster, struct_pack(d := {dist}, c := c.cluster)) AS cluster,
+           min({dist}) AS distance
+    FROM v, c{r - 1} c GROUP BY v.rk, v.vec_id, v.q)"""
+        )
+        if r <= rounds:
+            parts.append(
+                f"""s{r} AS (
+    SELECT a.cluster, t.i, sum(a.q[t.i]) AS s, count(*) AS n FROM a{r} a, range(1, {dims + 1}) t(i) GROUP BY a.cluster, t.i),
+c{r} AS (
+    SELECT c.cluster, CASE WHEN max(s.n) IS NULL THEN any_value(c.q)
+                           ELSE list(CAST((s.s - ((s.s % s.n) + s.n) % s.n) // s.n AS BIGINT) ORDER BY s.i) END AS q
+    FROM c{r - 1} c LEFT JOIN s{r} s ON s.cluster = c.cluster GROUP BY c.cluster)"""
+            )
+    last = rounds + 1
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, a.cluster, CAST(a.distance AS BIGINT) AS distance,
+       CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+    )
+
+
+@query(_kmeans_sql())
+def op12_va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after 3 rounds, nearest centroids found through the vector-approximation file."""
+    return va_clustering.cluster(table(spark, sf_dir, "embeddings"))
