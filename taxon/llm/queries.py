@@ -13,6 +13,7 @@ from taxon.llm import (
     factor_machine,
     hilbert_search,
     language_mixture,
+    lattice_lm,
     lexical_search,
     license_notices,
     merkle_audit,
@@ -287,3 +288,11 @@ FROM a{last} a JOIN c{rounds} c ON c.cluster = a.cluster"""
 def op12_va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in 16 clusters after 3 rounds, nearest centroids found through the vector-approximation file."""
     return va_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by subword lattices whose unit probabilities are learned on the other documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = lattice_lm.train(docs.filter(~lattice_lm.held_out(F.col("doc_id"))))
+    return lattice_lm.score(docs, model)
