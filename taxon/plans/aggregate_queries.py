@@ -555,7 +555,7 @@ def tfidf_sql(body: str) -> str:
 @query(tfidf_sql(f"SELECT doc_id, term, CAST(position AS INTEGER) AS position, {r('tfidf', 'tfidf')} FROM cells"))
 def text_tfidf_topn(v: Views):
     docs = v.items.select("doc_id", "description")
-    counts = cut_lineage(T.term_counts(docs, "doc_id", "description"))
+    counts = cut_lineage(T.candidate_term_counts(docs, "doc_id", "description"))
     return T.tfidf(counts, T.fit_idf(counts, docs.agg(F.count(F.lit(1))).scalar()), "doc_id")
 
 
@@ -574,7 +574,7 @@ def text_tfidf_topn(v: Views):
 )
 def feat_basic_set(v: Views):
     docs = v.items.select("doc_id", "description")
-    counts = cut_lineage(T.term_counts(docs, "doc_id", "description"))
+    counts = cut_lineage(T.candidate_term_counts(docs, "doc_id", "description"))
     vectors = T.widened(docs, T.tfidf(counts, T.fit_idf(counts, docs.agg(F.count(F.lit(1))).scalar()), "doc_id"), "doc_id")
     basic = text.with_text_lengths(v.items)
     basic = X.with_onehot_observed(basic, "type", "type")

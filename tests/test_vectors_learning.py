@@ -143,3 +143,40 @@ def test_batch_scores_equal_numpy(spark, blobs):
         p = np.exp(logits) / np.exp(logits).sum()
         assert [r["prob_a"], r["prob_b"], r["prob_c"]] == pytest.approx(list(p))
         assert r["predicted_label"] == "abc"[int(p.argmax())]
+
+
+def test_cut_model_equals_a_fit_of_that_many_rounds(spark, blobs):
+    """The first trees of a seeded fit are the trees of a shorter fit: the cut predicts what a refit would."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from taxon.learning.boosting import _learner, cut
+
+    data = blobs.select("features", (F.col("label") == "a").cast("double").alias("is_class"))
+    params = TreeParams(max_depth=3, learning_rate=0.2, rounds=12, min_child_weight=1, gamma=0.0)
+    long = _learner(params, 12, 180).fit(data)
+    short = _learner(params, 5, 180).fit(data)
+    cut5 = cut(long, 5)
+    assert cut5.getNumTrees == 5 and cut(long, 12) is long
+    a, b = (m.transform(data).select(vector_to_array("probability")[1].alias("p")).collect() for m in (cut5, short))
+    assert [r.p for r in a] == pytest.approx([r.p for r in b], abs=1e-12)
+
+
+@pytest.mark.parametrize("capacity", [3, 40, 20_000])
+def test_heavy_terms_give_the_vocabulary_of_all_counts(spark, capacity):
+    """Zipf-like texts over many partitions: the candidates hold the exact top terms, or the answer is None."""
+    from taxon.operators import tfidf as T
+
+    rng = np.random.default_rng(7)
+    vocab = [f"w{i:03d}" for i in range(300)]
+    p = 1 / np.arange(1, 301)
+    texts = [(i, " ".join(rng.choice(vocab, size=rng.integers(0, 40), p=p / p.sum()))) for i in range(600)]
+    docs = spark.createDataFrame(texts + [(600, None), (601, "")], "doc_id long, description string").repartition(7)
+    found = T.heavy_terms(docs, "description", 20, capacity=capacity)
+    full = T.fit_idf(T.term_counts(docs, "doc_id", "description"), 602, 20).collect()
+    if found is None:
+        assert capacity < 20_000
+    else:
+        assert {r.term for r in full} <= {r.term for r in found.collect()}
+    fitted = T.fit_idf(T.candidate_term_counts(docs, "doc_id", "description", 20), 602, 20).collect()
+    assert sorted(map(tuple, fitted)) == sorted(map(tuple, full))
