@@ -180,3 +180,34 @@ def test_heavy_terms_give_the_vocabulary_of_all_counts(spark, capacity):
         assert {r.term for r in full} <= {r.term for r in found.collect()}
     fitted = T.fit_idf(T.candidate_term_counts(docs, "doc_id", "description", 20), 602, 20).collect()
     assert sorted(map(tuple, fitted)) == sorted(map(tuple, full))
+
+
+def test_bundle_saves_loads_and_names_features(spark):
+    """Encoder, population scaler, named features and cut trees in one PipelineModel; loading changes nothing."""
+    from pyspark.ml import PipelineModel
+
+    from taxon.learning import bundle as B
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(240):
+        label = ["b", "a", "c"][i % 3]
+        x = rng.normal(0, 1, 3) + {"a": 0, "b": 3, "c": -3}[label] * np.array([1, 0, 0])
+        rows.append((i, label if i % 37 else None, float(x[0]), None if i % 11 == 0 else float(x[1]), int(x[2] > 0), i % 5 == 0))
+    df = spark.createDataFrame(rows, "id long, label string, big double, noise double, flag int, is_validation boolean")
+    model = B.fit_bundle(df, ["big", "noise", "flag"], params=TreeParams(max_depth=3, rounds=30, patience=5, min_child_weight=1))
+    path = scratch_path(spark, "bundle")
+    model.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    before = B.predict(model, df).select("id", "predicted_label", "confidence", "probs").collect()
+    after = B.predict(again, df).select("id", "predicted_label", "confidence", "probs").collect()
+    assert sorted(map(tuple, before)) == sorted(map(tuple, after))
+    assert all(sum(r.probs) == pytest.approx(1.0) and r.confidence == max(r.probs) for r in after)
+    assert np.mean([r.predicted_label == lab for r, (_, lab, *_x) in zip(sorted(after), rows) if lab is not None]) > 0.9
+    assert B.feature_names(again) == ["big", "noise", "flag"]
+    named = {r.feature: r.importance for r in B.importances(spark, again).collect()}
+    assert max(named, key=named.get) == "big" and sum(named.values()) == pytest.approx(1.0)
+    train = [r for r in rows if r[1] is not None and not r[5]]
+    xs = np.array([r[2] for r in train])
+    numbers = [float(x) for x in re.findall(r"\((-?[0-9.e-]+)D\)", again.stages[1].getStatement())]
+    assert numbers[:2] == pytest.approx([xs.mean(), xs.std()], rel=1e-12)  # population deviation of the training rows
