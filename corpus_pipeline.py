@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taxon.llm import apportion, language_mixture, oph_minhash, vector_packing, weak_quality
-from taxon.llm.common import held_out, written
+from taxon.llm.common import held_out, private, written
 
 
 # Copies are alike from 80 % of their shingles on; a pair at 0.8 shares no band once in 190 million times.
@@ -23,14 +24,29 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return weak_quality.keep_good(docs)
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a unique, non-null row key, written so that it stays the same when read again."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return oph_minhash.keep_first(docs, banding=NEAR)
+    """One row of each group of near copies: the smallest doc_id, nulls last, then the row key.
+
+    Groups are formed over rows, so a null or repeated doc_id is a document like any other; rows without
+    words form groups of their own and stay. The survivor of a group is found by a combinable minimum.
+    """
+    row = private("row")
+    keyed = with_row_key(docs, row)
+    groups = oph_minhash.near_duplicates(keyed, row, "text", NEAR).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c"))
+    first = keyed.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(first.select(F.col("first.c").alias(row)), row, "left_semi").drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return apportion.repeat_documents(docs)
+    """Rows as often as the mix takes them; the mix decides per row (a null or repeated doc_id included)."""
+    row = private("row")
+    return apportion.repeat_documents(with_row_key(docs, row), key=row).drop(row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ def test_odd_rows_go_through_every_stage(spark):
         docs = corpus_pipeline.written(stage(spark, docs, ""), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
         seen.append(sorted((r.doc_id or 0) for r in docs.collect()))
-    assert seen[0] == seen[1] == [0, 1, 2, 5, 5] and seen[2] == [1, 5, 5] and set(seen[3]) <= {1, 5}
+    # the null-id row (unlike the others) and one of the two equal rows with id 5 pass the near_dedup stage
+    assert seen[0] == seen[1] == [0, 1, 2, 5, 5] and seen[2] == [0, 1, 5] and set(seen[3]) <= {0, 1, 5}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
-    assert {r.doc_id for r in packed} == set(seen[3])
+    assert {r.doc_id or 0 for r in packed} == set(seen[3])
