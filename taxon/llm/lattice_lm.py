@@ -126,9 +126,29 @@ class Lattice:
         return alpha
 
     def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of the word's lattice."""
+        """Natural log of the sum over all segmentations of the word's lattice (forward recursion only)."""
         s = WORD_START + word
-        return self.forward(s)[-1]
+        n, logp, longest = len(s), self.logp, self.longest
+        exp, log1p, inf = math.exp, math.log1p, -math.inf
+        alpha = [inf] * (n + 1)
+        alpha[0] = 0.0
+        for i in range(n):
+            a = alpha[i]
+            if a == inf:
+                continue
+            for j in range(i + 1, min(n, i + longest) + 1):
+                lp = logp.get(s[i:j]) if j > i + 1 else self.fallback(s[i])[0]
+                if j == i + 1 and s[i] in logp:
+                    # the one-character piece and the character's byte pieces are two edges
+                    v = a + logp[s[i]]
+                    b = alpha[j]
+                    alpha[j] = v if b == inf else max(b, v) + log1p(exp(-abs(b - v)))
+                if lp is None:
+                    continue
+                v = a + lp
+                b = alpha[j]
+                alpha[j] = v if b == inf else max(b, v) + log1p(exp(-abs(b - v)))
+        return alpha[n]
 
     def expect(self, word: str, weight: float, into: dict[str, float]) -> None:
         """Add ``weight`` times each unit's expected count over the segmentations of the word."""
@@ -181,57 +201,71 @@ def train(docs: DataFrame, setting: Model = Model(), text: str = "text") -> dict
     return {"logp": logp, "longest": longest, "counts": counted, "n_docs": n_docs}
 
 
+def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, doc_id, held_out, word, tf) written once: each row's words counted inside it (sorted words, lengths
+    of equal runs), so no shuffle is needed, plus one row without a word per document carrying its word count.
+    """
+    s = F.col("s")
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.when(i == 0, True).otherwise(s[i] != s[i - 1]))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size(s)))
+    runs = F.zip_with("starts", ends, lambda a, b: F.struct(s[a].alias("word"), (b - a).cast("long").alias("tf")))
+    runs = F.when(F.size(s) > 0, runs).otherwise(F.array().cast("array<struct<word:string,tf:bigint>>"))
+    starts = F.when(F.size(s) > 0, starts).otherwise(F.array().cast("array<int>"))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size(s).cast("long").alias("tf")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.sort_array(words_of(F.col(text))).alias("s"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("starts", starts)
+    out = rows.select("row", "doc_id", "held_out", F.explode(F.concat(marker, runs)).alias("p"))
+    return written(out.select("row", "doc_id", "held_out", "p.word", "p.tf"), "lattice-doc-words")
+
+
 def score(docs: DataFrame, model: dict, setting: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+
+    Each distinct word of the table is scored by its lattice once; documents sum their words' scores.
+    """
     logp, longest, counted, n_docs = model["logp"], model["longest"], model["counts"], model["n_docs"]
     stats = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens = int(stats["n"]) + n_docs
     distinct = int(stats["v"]) + (1 if n_docs else 0)
     denominator = train_tokens + distinct + 1
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), words_of(F.col(text)).alias("words"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lattice-rows")
+    found = word_counts(docs, doc_id, text)
+    per_doc = found.filter(F.col("word").isNotNull())
+    docs_only = found.filter(F.col("word").isNull()).select("row", "doc_id", "held_out", F.col("tf").alias("n_words"))
 
     def lattice_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(logp, longest)
-        end = logp[END]
         for batch in batches:
-            seen: dict[str, float] = {}
-            out = []
-            for words in batch["words"]:
-                total = end
-                for w in words:
-                    lp = seen.get(w)
-                    if lp is None:
-                        lp = seen[w] = lattice.log_probability(w)
-                    total += lp
-                out.append(total / math.log(10))
-            yield pd.DataFrame({"row": batch["row"], "score": out})
-
-    scored = rows.select("row", "words").mapInPandas(lattice_scores, "row long, score double")
-
-    # Base: words of each document with their training counts; hot words salted over several keys.
+            yield pd.DataFrame({"word": batch["word"], "lp": [lattice.log_probability(w) / math.log(10) for w in batch["word"]]})
+
+    # every distinct word once: its training count and its lattice score (log10)
+    words = per_doc.select("word").distinct().mapInPandas(lattice_scores, "word string, lp double")
+    words = words.join(counted, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), "lp")
+
+    # words above hot_share of the training words (at most 1 / hot_share of them) are salted over several keys
     threshold = max(1, int(setting.hot_share * train_tokens))
-    hot = counted.filter(F.col("c") >= threshold).select("word")  # at most 1 / hot_share words
+    hot = counted.filter(F.col("c") >= threshold).select("word")
     salt_of = F.when(F.col("hot"), F.pmod(F.xxhash64("row", "word"), F.lit(setting.salts))).otherwise(F.lit(0))
-    per_doc = rows.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("tf"))
-    per_doc = per_doc.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "word", "left").fillna(False, ["hot"]).withColumn("salt", salt_of)
-    salted = counted.join(F.broadcast(hot), "word", "left_semi").select("word", "c", F.explode(F.sequence(F.lit(0), F.lit(setting.salts - 1))).alias("salt"))
-    keyed = counted.join(F.broadcast(hot), "word", "left_anti").select("word", "c", F.lit(0).alias("salt")).unionByName(salted)
-    matched = per_doc.join(keyed, ["word", "salt"], "left")
-    term = F.col("tf") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(float(denominator)))
-    base = matched.groupBy("row").agg(
-        F.sum("tf").alias("n_words"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known_words"), F.sum(term).alias("words_base")
+    keyed_docs = per_doc.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "word", "left").fillna(False, ["hot"]).withColumn("salt", salt_of)
+    salted = words.join(F.broadcast(hot), "word", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(setting.salts - 1))))
+    keyed = words.join(F.broadcast(hot), "word", "left_anti").withColumn("salt", F.lit(0)).unionByName(salted)
+    matched = keyed_docs.join(keyed, ["word", "salt"])
+    term = F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
+    sums = matched.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known_words"),
+        F.sum(term).alias("words_base"),
+        F.sum(F.col("tf") * F.col("lp")).alias("words_score"),
     )
     end_term = math.log10((n_docs + 1) / denominator)
-    out = rows.select("row", "doc_id", "held_out").join(base, "row", "left").join(scored, "row")
+    end_score = logp[END] / math.log(10)
+    out = docs_only.join(sums, "row", "left")
     return out.select(
         "doc_id", "held_out",
-        (F.coalesce(F.col("n_words"), F.lit(0)) + 1).cast("long").alias("n_tokens"),
+        (F.col("n_words") + 1).cast("long").alias("n_tokens"),
         (F.coalesce(F.col("n_known_words"), F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.coalesce(F.col("words_base"), F.lit(0.0)) + end_term).alias("base_score"),
-        "score",
+        (F.coalesce(F.col("words_score"), F.lit(0.0)) + end_score).alias("score"),
     )
 
 

@@ -1,103 +1,98 @@
-"""Exact quantiles without a buffer of all distinct values.
+"""Exact quantiles without a buffer of all distinct values: distributed selection by histogram refinement.
 
-The built-in exact percentile keeps every distinct value in one buffer. Here a sketch
-brackets each wanted rank first; then one aggregation counts values, folding all those
-outside the brackets into a few rows, and only the short bracket is ordered. A bracket
-holds about ``8 / accuracy`` of the distinct values, so raise the accuracy with the data.
+The built-in exact percentile keeps every distinct value in one buffer. Here each wanted rank starts with
+a bracket, the key's whole range of values. One aggregation per round counts the rows of every open bracket
+in ``BUCKETS`` equal-width buckets, with each bucket's smallest and largest value; the bucket that holds the
+rank becomes the new bracket (bounded by those actual values, so every round narrows it), and the rows below
+it are added to the rank's offset. A bracket closes once it holds at most ``accuracy`` rows or one value;
+then only its rows are ordered, a window of at most ``accuracy`` rows. Nothing can miss, so there is no
+failure path; rounds go on until every bracket is closed (each round divides a bracket's width by
+``BUCKETS``, and a bracket of one value closes at once).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
+import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACCURACY = 20_000
+BUCKETS = 1024
+MAX_KEYS = 10_000
 
 
-def exact_quantiles(
-    df: DataFrame, key: str, value: str, probs: list[float], accuracy: int = ACCURACY
-) -> DataFrame:
-    """(key, prob, quantile) with linear interpolation between neighbouring ranks.
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(key, prob, quantile) with linear interpolation between neighbouring ranks; null values are left out.
 
-    ``key`` takes few values fixed by the caller (feature names), so its table of brackets
-    is broadcast. The sketch is off by at most ``rows / accuracy`` ranks, a bound that does not
-    depend on chance, and the brackets are three times as wide, which leaves room for the
-    neighbouring ranks; up to ``accuracy`` rows the whole range is the bracket. So a wanted rank
-    lies inside; that is asserted, not assumed.
+    ``key`` takes few values fixed by the caller (feature names; at most ``MAX_KEYS``), so the brackets,
+    a few per key and prob, are broadcast and their bucket counts come to the driver.
     """
+    spark = df.sparkSession
     probs = sorted(probs)
-    ids = range(len(probs))
-    margin = 3.0 / accuracy
-    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    rows = df.select(key, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).limit(MAX_KEYS + 1).collect()
+    if len(stats) > MAX_KEYS:
+        raise ValueError(f"{key} has more than {MAX_KEYS} values")
+    key_type = df.schema[key].dataType
+
+    # bracket id -> [key, rank, lo, hi, rows below lo, rows inside]
+    brackets: dict[int, list] = {}
+    wanted: dict[tuple, tuple[int, int, float]] = {}
+    for s in stats:
+        ranks: dict[int, int] = {}
+        for p in probs:
+            position = (s["n"] - 1) * p
+            left, right = math.floor(position), math.ceil(position)
+            for rank in (left, right):
+                if rank not in ranks:
+                    ranks[rank] = len(brackets)
+                    brackets[len(brackets)] = [s["k"], rank, s["lo"], s["hi"], 0, s["n"]]
+            wanted[(s["k"], p)] = (ranks[left], ranks[right], position - left)
 
-    sketch = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-        F.percentile_approx("v", edges, accuracy).alias("edges"),
-    )
-    whole = F.col("n") <= accuracy
-    brackets = sketch.select(
-        key,
-        "n",
-        *[F.when(whole, F.col("min")).otherwise(F.col("edges")[i]).alias(f"low{i}") for i in ids],
-        *[F.when(whole, F.col("max")).otherwise(F.col("edges")[len(probs) + i]).alias(f"high{i}") for i in ids],
-    )
+    def table(ids: list[int]) -> DataFrame:
+        data = [(i, brackets[i][0], float(brackets[i][2]), float(brackets[i][3])) for i in ids]
+        schema = T.StructType([
+            T.StructField("id", T.IntegerType()), T.StructField("kb", key_type),
+            T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+        ])
+        return F.broadcast(spark.createDataFrame(data, schema))  # a few rows per key and prob
 
-    # rows outside every bracket keep only how many brackets start at or below them
-    inside = reduce(or_, [F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in ids])
-    started = reduce(add, [(F.col(f"low{i}") <= F.col("v")).cast("int") for i in ids])
-    counted = (
-        rows.join(F.broadcast(brackets), key)
-        .select(key, F.when(inside, F.col("v")).alias("candidate"), started.alias("started"))
-        .groupBy(key, "candidate", "started")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    def open_ids() -> list[int]:
+        return [i for i, b in brackets.items() if b[5] > accuracy and b[2] < b[3]]
 
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(p).alias("prob"),
-                F.col(f"low{i}").alias("low"),
-                F.col(f"high{i}").alias("high"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    per_prob = counted.join(F.broadcast(brackets), key).select(key, "n", "candidate", "started", "c", F.inline(wanted))
-    outside = F.col("candidate").isNull()
-    below = F.when(outside, F.col("started") <= F.col("i")).otherwise(F.col("candidate") < F.col("low"))
-    # everything under the bracket becomes one NULL-valued row that sorts first
-    blocks = (
-        per_prob.withColumn("below", below)
-        .where(F.col("below") | F.col("candidate").between(F.col("low"), F.col("high")))
-        .groupBy(key, "prob", "n", F.when(~F.col("below"), F.col("candidate")).alias("v"))
-        .agg(F.sum("c").alias("c"))
-    )
-    upto = F.sum("c").over(W.partitionBy(key, "prob").orderBy(F.col("v").asc_nulls_first()))
-    position = (F.col("n") - 1) * F.col("prob")
-    left, right = F.floor(position), F.ceil(position)
+    while ids := open_ids():
+        width = (F.col("hi") - F.col("lo")) / BUCKETS
+        bucket = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(BUCKETS - 1)).cast("int")
+        inside = rows.join(table(ids), rows["k"].eqNullSafe(F.col("kb")))
+        inside = inside.where(F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy("id", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        by_id: dict[int, list] = {}
+        for r in counts:
+            by_id.setdefault(r["id"], []).append(r)
+        for i in ids:
+            b = brackets[i]
+            offset = b[1] - b[4]
+            for r in sorted(by_id.get(i, []), key=lambda r: r["b"]):
+                if offset < r["c"]:
+                    b[2], b[3], b[5] = r["lo"], r["hi"], r["c"]
+                    break
+                offset -= r["c"]
+                b[4] += r["c"]
 
-    def at(rank):
-        return F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("v")))
+    # closed brackets: one value, or at most ``accuracy`` rows ordered in a window
+    chosen: dict[int, float] = {i: b[2] for i, b in brackets.items() if b[2] >= b[3]}
+    small = [i for i, b in brackets.items() if b[2] < b[3]]
+    if small:
+        inside = rows.join(table(small), rows["k"].eqNullSafe(F.col("kb")))
+        inside = inside.where(F.col("v").between(F.col("lo"), F.col("hi"))).select("id", "v")
+        offsets = spark.createDataFrame([(i, brackets[i][1] - brackets[i][4]) for i in small], "id int, offset long")
+        ordered = inside.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("v")) - 1)
+        for r in ordered.join(F.broadcast(offsets), "id").where(F.col("place") == F.col("offset")).select("id", "v").collect():
+            chosen[r["id"]] = r["v"]
 
-    picked = (
-        blocks.withColumn("upto", upto)
-        .groupBy(key, "prob", "n")
-        .agg(at(left).alias("left"), at(right).alias("right"))
-    )
-    answer = F.col("left") + (F.col("right") - F.col("left")) * (position - left)
-    missed = F.col("left").isNull() | F.col("right").isNull()
-    return picked.select(
-        key,
-        "prob",
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise the accuracy")).cast("double"))
-        .otherwise(answer)
-        .alias("quantile"),
-    )
+    out = [(k, p, chosen[lft] + (chosen[rgt] - chosen[lft]) * frac) for (k, p), (lft, rgt, frac) in wanted.items()]
+    schema = T.StructType([T.StructField(key, key_type), T.StructField("prob", T.DoubleType()), T.StructField("quantile", T.DoubleType())])
+    return spark.createDataFrame(out, schema)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from taxon.functions import features as X
 from taxon.functions import text
+from taxon.learning import bundle as B
 from taxon.learning import search
 from taxon.learning.boosting import BoostedTreesModel, TreeParams, assemble, fit_boosted_trees
 from taxon.learning.ensemble import fit_ensemble
@@ -290,3 +291,37 @@ def ml_feature_set_ab(v: Views):
         predicted = fit_boosted_trees(data, TreeParams(), features=columns).predict(data.where("is_validation"))
         scored.append(predicted.select("label", "predicted_label", F.lit(name).alias("model")))
     return E.feature_set_comparison(scored[0].unionByName(scored[1]), "basic", "enriched")
+
+
+# ---- the published training path on the 33 engineered columns, as one saved bundle
+
+
+def bundle_rows(v: Views) -> DataFrame:
+    """Labelled items with their 33 features and the stratified 80/20 flag, stored once."""
+
+    def build() -> DataFrame:
+        items = S.stratified_split(v.items.select("doc_id", "item", "label"), "doc_id")
+        featured = X.matrix_33(attach_features(items, v.raw_features), ["item", "label", "split"])
+        return featured.withColumn("is_validation", F.col("split") == "valid")
+
+    return v.stored("bundle-rows", build)
+
+
+def bundled(v: Views) -> PipelineModel:
+    """The bundle fitted at the published settings, saved once and read back as Spark's PipelineModel."""
+    path = v.stored_path("bundle", lambda path: B.fit_bundle(bundle_rows(v), list(X.FEATURES_33)).write().save(path))
+    return PipelineModel.load(path)
+
+
+@query()
+def ml_bundle_predictions(v: Views):
+    """Item, label, predicted label, confidence and one probability per class from the loaded bundle."""
+    scored = B.predict(bundled(v), bundle_rows(v))
+    labels = bundled(v).stages[-1].getLabels()
+    return scored.select("item", "label", "split", "predicted_label", "confidence", *[F.col("probs")[i].alias(f"prob_{c}") for i, c in enumerate(labels)])
+
+
+@query()
+def ml_bundle_importance(v: Views):
+    """Importances of the bundle's trees by the names of the 33 features."""
+    return R.top_importances(B.importances(v.spark, bundled(v)), 33)

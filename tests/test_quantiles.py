@@ -41,3 +41,13 @@ def test_tiny_groups_and_missing_values(spark):
 def test_median_of_even_count(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (4, 1, 3, 2)], "k string, v double")
     assert exact_quantiles(df, "k", "v", [0.5]).first()["quantile"] == statistics.median([1, 2, 3, 4])
+
+
+def test_small_windows_on_many_values_refine_until_exact(spark):
+    """accuracy 10 on 100,000 values: brackets narrow by bucket counts until at most ten rows are ordered."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 1, 60_000), rng.exponential(1e-9, 30_000), np.full(10_000, 2.5)])
+    df = spark.createDataFrame([("x", float(v)) for v in values], "k string, v double").repartition(8)
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, "k", "v", [0.0, 0.1, 0.31, 0.5, 0.9, 0.97, 1.0], 10).collect()}
+    for p, q in got.items():
+        assert q == pytest.approx(np.quantile(values, p), abs=1e-15)
