@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SITELINKS_SCHEMA = "map<string, struct<title: string>>"
 CLAIMS_SCHEMA = "map<string, array<struct<mainsnak: struct<datatype: string>>>>"
-ENTITY_SCHEMA = f"struct<entities: map<string, struct<sitelinks: {SITELINKS_SCHEMA}, claims: {CLAIMS_SCHEMA}>>>"
+BRANCH_SCHEMAS = {"sitelinks": SITELINKS_SCHEMA, "claims": CLAIMS_SCHEMA}
 PAGE_MAP_SCHEMA = (
     "map<string, struct<length: bigint, missing: string, coordinates: string, "
     "categories: array<string>, extlinks: array<string>, langlinks: array<string>>>"
@@ -49,17 +49,17 @@ FLAG_PROPERTIES = {
 }
 
 
-def parse_entity(df: DataFrame, raw: str = "raw", qid: str = "qid") -> DataFrame:
-    """Add ``sitelinks`` and ``claims`` maps; empty maps stand in for anything unreadable."""
-    entity = F.try_element_at(F.from_json(raw, ENTITY_SCHEMA)["entities"], F.col(qid))
+def parse_entity(df: DataFrame, raw: str = "raw", qid: str = "qid", branches: tuple[str, ...] = tuple(BRANCH_SCHEMAS)) -> DataFrame:
+    """Add the maps of ``branches`` (``sitelinks`` and ``claims``); empty maps stand in for anything unreadable.
+
+    A branch that is not asked for is skipped by the JSON reader and never built.
+    """
+    fields = ", ".join(f"{b}: {BRANCH_SCHEMAS[b]}" for b in branches)
+    entity = F.try_element_at(F.from_json(raw, f"struct<entities: map<string, struct<{fields}>>>")["entities"], F.col(qid))
     parsed = df.withColumn("_entity", entity)
-    return parsed.withColumns(
-        {
-            # a branch of the wrong kind (an empty list for a map) is NULL and leaves the other alone
-            "sitelinks": F.coalesce(F.col("_entity.sitelinks"), F.from_json(F.lit("{}"), SITELINKS_SCHEMA)),
-            "claims": F.coalesce(F.col("_entity.claims"), F.from_json(F.lit("{}"), CLAIMS_SCHEMA)),
-        }
-    ).drop("_entity")
+    # a branch of the wrong kind (an empty list for a map) is NULL and leaves the other alone
+    maps = {b: F.coalesce(F.col("_entity")[b], F.from_json(F.lit("{}"), BRANCH_SCHEMAS[b])) for b in branches}
+    return parsed.withColumns(maps).drop("_entity")
 
 
 def parse_pages(df: DataFrame, raw: str = "raw") -> DataFrame:

@@ -28,13 +28,14 @@ def as_int(expression: str) -> str:
     return f"CAST({expression} AS INTEGER)"
 
 
-def entities(v: Views) -> DataFrame:
-    return D.parse_entity(v.entity_docs)
+def entities(v: Views, *branches: str) -> DataFrame:
+    """The stored documents with the named branches, both if none is named."""
+    return D.parse_entity(v.entity_docs, branches=branches or tuple(D.BRANCH_SCHEMAS))
 
 
 @query(over_entities({"num_languages": as_int("f.num_languages")}))
 def json_count_keys_suffix(v: Views):
-    return entities(v).select("qid", D.keys_with_suffix(F.col("sitelinks")).alias("num_languages"))
+    return entities(v, "sitelinks").select("qid", D.keys_with_suffix(F.col("sitelinks")).alias("num_languages"))
 
 
 @query(
@@ -44,22 +45,22 @@ def json_count_keys_suffix(v: Views):
     )
 )
 def json_nested_get(v: Views):
-    return entities(v).select("qid", D.title_of(F.col("sitelinks")).alias("title"))
+    return entities(v, "sitelinks").select("qid", D.title_of(F.col("sitelinks")).alias("title"))
 
 
 @query(over_entities({c: f"f.{c}" for c in D.FLAG_PROPERTIES}, "false"))
 def json_has_key(v: Views):
-    return entities(v).select("qid", *[D.has_key(F.col("claims"), p).alias(c) for c, p in D.FLAG_PROPERTIES.items()])
+    return entities(v, "claims").select("qid", *[D.has_key(F.col("claims"), p).alias(c) for c, p in D.FLAG_PROPERTIES.items()])
 
 
 @query(over_entities({"num_statements": as_int("f.num_statements")}))
 def json_sum_list_sizes(v: Views):
-    return entities(v).select("qid", D.total_list_size(F.col("claims")).alias("num_statements"))
+    return entities(v, "claims").select("qid", D.total_list_size(F.col("claims")).alias("num_statements"))
 
 
 @query(over_entities({"statement_diversity": as_int("f.statement_diversity")}))
 def json_key_count(v: Views):
-    return entities(v).select("qid", D.key_count(F.col("claims")).alias("statement_diversity"))
+    return entities(v, "claims").select("qid", D.key_count(F.col("claims")).alias("statement_diversity"))
 
 
 @query(
@@ -74,7 +75,7 @@ def json_key_count(v: Views):
 )
 def json_key_set_overlap(v: Views):
     claims = F.col("claims")
-    return entities(v).select(
+    return entities(v, "claims").select(
         "qid",
         D.keys_in_set(claims, D.TRAINING_SETS.cultural).alias("training_cultural"),
         D.keys_in_set(claims, D.TRAINING_SETS.geographic).alias("training_geographic"),
@@ -85,12 +86,12 @@ def json_key_set_overlap(v: Views):
 
 @query(over_entities({"num_identifiers": as_int("f.num_identifiers")}))
 def json_count_keys_exists(v: Views):
-    return entities(v).select("qid", D.keys_with_external_id(F.col("claims")).alias("num_identifiers"))
+    return entities(v, "claims").select("qid", D.keys_with_external_id(F.col("claims")).alias("num_identifiers"))
 
 
 @query(over_entities({"num_identifiers": as_int("f.serving_identifiers")}))
 def json_count_keys_numeric(v: Views):
-    return entities(v).select("qid", D.keys_numbered_above(F.col("claims")).alias("num_identifiers"))
+    return entities(v, "claims").select("qid", D.keys_numbered_above(F.col("claims")).alias("num_identifiers"))
 
 
 PAGE_STATS_SQL = """

@@ -247,12 +247,26 @@ def _probabilities(hits: str) -> Column:
     return F.transform(hits, lambda h: (h + 1).cast("double") / total)
 
 
-def _present(condition: Column, key: str, kind: str, times: Column) -> Column:
-    """Claim entry of one property, NULL when the entity does not have it."""
-    statement = F.struct(F.struct(F.lit(kind).alias("datatype")).alias("mainsnak"))
-    return F.when(condition, F.struct(F.lit(key).alias("key"), F.array_repeat(statement, times.cast("int")).alias("value")))
+def _statements(kind: str, times: Column) -> Column:
+    """JSON list of ``times`` equal statements; ``null`` without a number, empty below one."""
+    one = f'{{"mainsnak":{{"datatype":"{kind}"}}}}'
+    many = F.concat(F.lit("["), F.repeat(F.lit(f"{one},"), times - 1), F.lit(f"{one}]"))
+    return F.when(times.isNull(), F.lit("null")).when(times < 1, F.lit("[]")).otherwise(many)
 
 
+def _present(condition: Column, key: str, statements: Column) -> Column:
+    """JSON member of one property, NULL when the entity does not have it."""
+    return F.when(condition, F.concat(F.lit(f'"{key}":'), statements))
+
+
+def _link(condition: Column, site: str, title: Column) -> Column:
+    """JSON member of one site link, NULL when there is none; a missing title leaves an empty object."""
+    return F.when(condition, F.concat(F.lit(f'"{site}":'), F.coalesce(F.concat(F.lit('{"title":"'), title, F.lit('"}')), F.lit("{}"))))
+
+
+# A document has some KB, its source row some bytes, so documents are spread by their number.
+DOCUMENTS_PER_TASK = 20_000
+
 # (application, source files, name) -> stored table or model; predictions, features and documents are
 # products that the operators read from storage, so each is built once for the files it comes from.
 _STORED: dict[tuple, str] = {}
@@ -357,49 +371,38 @@ class Views:
     def _entity_docs(self) -> DataFrame:
         """Entity documents: one nested JSON per fact row, and unreadable ones per nation."""
         k, user = F.col("k"), F.col("user_id")
-        one = F.lit(1)
         is_type = F.col("event_type").isin
-        claims = F.array_compact(
-            F.array(
-                _present(F.lit(True), "P31", "wikibase-item", one),
-                _present(k % 2 == 0, "P17", "wikibase-item", one),
-                _present(is_type("purchase"), "P495", "wikibase-item", one),
-                _present(is_type("purchase", "signup"), "P2596", "wikibase-item", one * 2),
-                _present(user % 3 == 0, "P625", "globe-coordinate", one),
-                _present(k > 50, "P131", "wikibase-item", one),
-                _present(k % 5 == 0, "P27", "wikibase-item", one),
-                _present(k > 80, "P361", "wikibase-item", one),
-                _present(~is_type("error"), "P214", "external-id", 1 + user % 4),
-                _present(k > 30, "P345", "external-id", one),
-                _present(k > 0, "P18", "string", k),
-            )
-        )
-        statement = lambda kind: F.struct(F.struct(F.lit(kind).alias("datatype")).alias("mainsnak"))
-        mixed = F.when(
-            k % 7 == 0,
-            F.struct(F.lit("P1566").alias("key"), F.array(statement("string"), statement("external-id")).alias("value")),
-        )
-        claims = F.map_from_entries(F.array_compact(F.array_append(claims, mixed)))
-        link = lambda site, title: F.struct(site.alias("key"), F.struct(title.alias("title")).alias("value"))
-        numbered = F.when(
-            k > 0,
-            F.transform(
-                F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1))),
-                lambda i: link(F.concat(F.lit("l"), i.cast("string"), F.lit("wiki")), F.concat(F.lit("L"), i.cast("string"))),
-            ),
-        ).otherwise(F.array())
-        named = F.array_compact(
-            F.array(
-                F.when(is_type("click", "view"), link(F.lit("enwiki"), F.concat(F.lit("P"), user.cast("string")))),
-                F.when(is_type("signup"), link(F.lit("commonswiki"), F.lit("C"))),
-                F.when(user % 2 == 0, link(F.lit("enwikiquote"), F.lit("Q"))),
-            )
+        item = _statements("wikibase-item", F.lit(1))
+        claims = F.concat_ws(
+            ",",
+            _present(F.lit(True), "P31", item),
+            _present(k % 2 == 0, "P17", item),
+            _present(is_type("purchase"), "P495", item),
+            _present(is_type("purchase", "signup"), "P2596", _statements("wikibase-item", F.lit(2))),
+            _present(user % 3 == 0, "P625", _statements("globe-coordinate", F.lit(1))),
+            _present(k > 50, "P131", item),
+            _present(k % 5 == 0, "P27", item),
+            _present(k > 80, "P361", item),
+            _present(~is_type("error"), "P214", _statements("external-id", (1 + user % 4).cast("int"))),
+            _present(k > 30, "P345", _statements("external-id", F.lit(1))),
+            _present(k > 0, "P18", _statements("string", k.cast("int"))),
+            _present(k % 7 == 0, "P1566", F.lit('[{"mainsnak":{"datatype":"string"}},{"mainsnak":{"datatype":"external-id"}}]')),
         )
-        sitelinks = F.map_from_entries(F.concat(numbered, named))
-        entity = F.struct(sitelinks.alias("sitelinks"), claims.alias("claims"))
-        docs = self.view("facts").select(
-            "qid", F.to_json(F.struct(F.create_map("qid", entity).alias("entities"))).alias("raw")
+        numbers = F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1)))
+        numbered = F.transform(numbers, lambda i: F.concat(F.lit('"l'), i, F.lit('wiki":{"title":"L'), i, F.lit('"}')))
+        sitelinks = F.concat_ws(
+            ",",
+            F.when(k > 0, F.array_join(numbered, ",")),
+            _link(is_type("click", "view"), "enwiki", F.concat(F.lit("P"), user.cast("string"))),
+            _link(is_type("signup"), "commonswiki", F.lit("C")),
+            _link(user % 2 == 0, "enwikiquote", F.lit("Q")),
         )
+        parts = [F.lit('{"entities":{"'), F.col("qid"), F.lit('":{"sitelinks":{'), sitelinks, F.lit('},"claims":{'), claims, F.lit("}}}}")]
+        facts = self.view("facts")
+        spread = facts.repartition(-(-facts.count() // DOCUMENTS_PER_TASK) or 1)
+        # an entity without an id cannot be a key of its document
+        no_id = F.raise_error(F.lit("an entity needs an id")).cast("string")
+        docs = spread.select("qid", F.when(F.col("qid").isNull(), no_id).otherwise(F.concat(*parts)).alias("raw"))
         nation = F.col("n_nationkey")
         bad_qid = F.concat(F.lit("Q"), (F.lit(10**12) + nation).cast("string"))
         empty_branches = F.concat(F.lit('{"entities":{"'), bad_qid, F.lit('":{"sitelinks":[],"claims":[]}}}'))
