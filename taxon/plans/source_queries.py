@@ -10,7 +10,7 @@ from taxon.operators import profile as P
 from taxon.operators import ranking as R
 from taxon.operators.splits import tagged_union
 from taxon.plans.registry import query, r
-from taxon.plans.views import Views
+from taxon.plans.views import DOCUMENTS_PER_TASK, Views
 from taxon.session import scratch_path
 from taxon.sources import documents, lookup_cache, sinks, tables
 
@@ -69,7 +69,8 @@ def src_required_columns(v: Views):
 )
 def src_entity_json(v: Views):
     path = scratch_path(v.spark, "entities")
-    v.entity_docs.write.json(path)
+    # gzip shrinks the repetitive documents; a compressed file is read by one task, so files stay small
+    v.entity_docs.write.option("maxRecordsPerFile", DOCUMENTS_PER_TASK).json(path, compression="gzip")
     entities = documents.read_entities(v.spark, path)
     return entities.select("qid", F.size("sitelinks").alias("n_sitelinks"), F.size("claims").alias("n_claims"))
 
