@@ -83,6 +83,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _POWERS = np.ones(1, dtype=np.uint64)
 
 
+def terms_in(text: bytes | None, table: bytes) -> list[bytes]:
+    """The terms of a UTF-8 text in order; ``table`` maps separators to spaces and lower-cases A-Z."""
+    return text.translate(table).split() if text is not None else []
+
+
+def term_table(separators: Iterable[int]) -> bytes:
+    """Byte table of ``terms_in``: these ASCII code points separate terms, A-Z become a-z."""
+    gaps = set(separators)
+    return bytes(0x20 if b in gaps else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
 def powers(n: int) -> np.ndarray:
     """First ``n`` powers of an odd 64-bit base, modulo 2**64."""
     global _POWERS

@@ -16,8 +16,8 @@ The base score beside it is an add-one unigram over whole words: sum of log10((c
 the words and one end token.
 
 Scale: training works on distinct words with their counts (a map-side combined aggregation, so a hot word
-is one row); an EM round is one pass over them in Arrow batches, each batch sending one row per unit it
-saw, and only unit counts (bounded by the vocabulary) reach the driver. Scoring is one pass over the
+is one row); an EM round is one pass over them in Arrow batches (words of one length share numpy arrays),
+each batch sending one row per unit it saw, and only unit counts (bounded by the vocabulary) reach the driver. Scoring is one pass over the
 documents; the words of a batch are scored once each. The base score joins the words of each document with
 their training counts; words above a share ``hot_share`` of all training words (at most 1 / ``hot_share``
 of them) are salted over ``salts`` keys, so no word's occurrences meet in one task.
@@ -32,15 +32,18 @@ ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from taxon.llm.common import written
+from taxon.llm.common import term_table, terms_in, written
 
 # Fixed values of the contract: white space that separates words, lower-casing of A-Z only.
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
@@ -169,6 +172,173 @@ class Lattice:
                         into[u] += weight * share
 
 
+class Lattices:
+    """The recursions of ``Lattice`` for many words at once: words of one length share dense arrays.
+
+    Probabilities are multiplied as they are; words above ``LONGEST_DENSE`` characters and those whose
+    probability comes near the smallest double go through ``Lattice``, in log space.
+    """
+
+    LONGEST_DENSE = 64
+    SMALLEST = 1e-200
+    CELLS = 2_000_000
+
+    def __init__(self, logp: dict[str, float], longest: int):
+        self.one = Lattice(logp, longest)
+        self.longest = longest
+        self.units = list(logp)
+        self.ids = {u: k for k, u in enumerate(self.units)}
+        self.p = np.exp(np.fromiter(logp.values(), dtype=float, count=len(logp)))
+        # prefix tree of the units: sorted (node, code point) -> next node, and the unit that ends at a node
+        step: dict[int, int] = {}
+        ends = {}
+        for k, unit in enumerate(self.units):
+            if len(unit) <= longest:
+                node = 0
+                for char in unit:
+                    node = step.setdefault(node << 21 | ord(char), len(step) + 1)
+                ends[node] = k
+        self.keys = np.sort(np.fromiter(step, dtype=np.int64, count=len(step)))
+        self.next = np.fromiter((step[int(k)] for k in self.keys), dtype=np.int64, count=len(step))
+        self.unit_at = np.full(len(step) + 1, -1, dtype=np.int64)
+        self.unit_at[list(ends)] = list(ends.values())
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in ``words``, code points): words of one length, with the word start in front."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        order = np.argsort(lengths, kind="stable")
+        for n in np.unique(lengths):
+            if n > self.LONGEST_DENSE:
+                break
+            at = order[np.searchsorted(lengths[order], n) : np.searchsorted(lengths[order], n, "right")]
+            width = max(1, self.CELLS // int(n * min(n, self.longest)))
+            for part in (at[k : k + width] for k in range(0, len(at), width)):
+                text = "".join(WORD_START + words[k] for k in part)
+                yield part, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), n).astype(np.int64)
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start, length and unit of every piece found in the words."""
+        n = codes.shape[1]
+        flat, at = codes.ravel(), np.arange(codes.size)
+        node, found = np.zeros(codes.size, dtype=np.int64), []
+        for length in range(1, min(n, self.longest) + 1):
+            inside = at % n + length <= n
+            at, node = at[inside], node[inside]
+            key = node << 21 | flat[at + length - 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[place] == key
+            at, node = at[known], self.next[place[known]]
+            unit = self.unit_at[node]
+            ended = unit >= 0
+            found.append((at[ended], np.full(int(ended.sum()), length), unit[ended]))
+        at, length, unit = (np.concatenate(x) for x in zip(*found))
+        return at // n, at % n, length, unit
+
+    def forward(self, codes: np.ndarray):
+        """Edges, characters with their byte probabilities, probability of every step, forward sums."""
+        words, n = codes.shape
+        word, start, length, unit = self.edges(codes)
+        chars, which = np.unique(codes, return_inverse=True)
+        fall = np.exp([self.one.fallback(chr(c))[0] for c in chars])[which.reshape(words, n)]
+        step = np.zeros((n, int(length.max(initial=1)), words))
+        step[start, length - 1, word] = self.p[unit]
+        step[:, 0, :] += fall.T
+        alpha = np.zeros((n + 1, words))
+        alpha[0] = 1.0
+        for i in range(n):
+            m = min(step.shape[1], n - i)
+            alpha[i + 1 : i + 1 + m] += alpha[i] * step[i, :m]
+        return (word, start, length, unit), (chars, which.reshape(words, n), fall), step, alpha
+
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """``Lattice.log_probability`` of every word."""
+        out = np.full(len(words), -math.inf)
+        for part, codes in self.groups(words):
+            total = self.forward(codes)[3][-1]
+            fit = total > self.SMALLEST
+            out[part[fit]] = np.log(total[fit])
+        for k in np.flatnonzero(out == -math.inf):
+            out[k] = self.one.log_probability(words[k])
+        return out
+
+    def expect(self, words: list[str], weights: np.ndarray) -> dict[str, float]:
+        """Sum of ``Lattice.expect`` over the words."""
+        sums = np.zeros(len(self.units))
+        left = np.ones(len(words), dtype=bool)
+        for part, codes in self.groups(words):
+            (word, start, length, unit), (chars, which, fall), step, alpha = self.forward(codes)
+            n = codes.shape[1]
+            beta = np.zeros_like(alpha)
+            beta[n] = 1.0
+            for i in range(n - 1, -1, -1):
+                m = min(step.shape[1], n - i)
+                beta[i] = (step[i, :m] * beta[i + 1 : i + 1 + m]).sum(axis=0)
+            fit = alpha[-1] > self.SMALLEST
+            left[part[fit]] = False
+            scale = np.divide(weights[part], alpha[-1], out=np.zeros(len(part)), where=fit)
+            share = alpha[start, word] * self.p[unit] * beta[start + length, word] * scale[word]
+            sums += np.bincount(unit, weights=share, minlength=len(sums))
+            by_char = np.bincount(which.ravel(), weights=(alpha[:-1] * fall.T * beta[1:] * scale).T.ravel(), minlength=len(chars))
+            for char, value in zip(chars, by_char):
+                for u in self.one.fallback(chr(char))[1]:
+                    sums[self.ids[u]] += value
+        into: dict[str, float] = defaultdict(float)
+        for k in np.flatnonzero(left):
+            self.one.expect(words[k], float(weights[k]), into)
+        for k in np.flatnonzero(sums):
+            into[self.units[k]] += float(sums[k])
+        return into
+
+
+# separators and A-Z in the bytes of a text, as in ``words_of``
+TABLE = term_table([0x20, *range(0x09, 0x0E)])
+TERMS_AT_ONCE = 500_000
+
+
+def _strings(words: list[bytes | None]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
+def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of some texts, not yet summed over all."""
+    into: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([_strings(list(into)), pa.array(into.values(), pa.int64())], names=["word", "c"])
+
+    for batch in batches:
+        for text in batch.column("text").cast(pa.binary()):
+            into.update(terms_in(text.as_py(), TABLE))
+            if len(into) >= TERMS_AT_ONCE:
+                yield out()
+                into.clear()
+    yield out()
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``word_counts``: per text its number of words, then every word with its count."""
+    for batch in batches:
+        at, words, counts, marks = [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            place = pa.array(np.array(at, dtype=np.int64))
+            marked = pa.array(np.array(at, dtype=np.int64), mask=~np.array(marks, dtype=bool))
+            columns = [batch.column("row").take(place), *[batch.column(c).take(marked) for c in ("doc_id", "held_out")]]
+            return pa.record_batch([*columns, _strings(words), pa.array(counts, pa.int64())], names=["row", "doc_id", "held_out", "word", "tf"])
+
+        for k, text in enumerate(batch.column("text").cast(pa.binary())):
+            found = Counter(terms_in(text.as_py(), TABLE))
+            at += [k] * (len(found) + 1)
+            marks += [True] + [False] * len(found)
+            words += [None, *found]
+            counts += [found.total(), *found.values()]
+            if len(at) >= TERMS_AT_ONCE:
+                yield out()
+                at, words, counts, marks = [], [], [], []
+        if at:
+            yield out()
+
+
 def _normalised(counts: dict[str, float], units: list[str]) -> dict[str, float]:
     total = sum(counts.get(u, 0.0) for u in units) + len(units)
     return {u: math.log((counts.get(u, 0.0) + 1.0) / total) for u in units}
@@ -180,7 +350,8 @@ def train(docs: DataFrame, setting: Model = Model(), text: str = "text") -> dict
 
     units, longest = vocabulary_units(public_tokenizers.path(setting.vocabulary))
     units = units + [END]
-    counted = docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(_batch_counts, "word string, c long")
+    counted = counted.groupBy("word").agg(F.sum("c").alias("c"))
     counted = written(counted, "lattice-word-counts")
     n_docs = docs.count()
     logp = {u: -math.log(len(units)) for u in units}
@@ -188,11 +359,9 @@ def train(docs: DataFrame, setting: Model = Model(), text: str = "text") -> dict
         current = dict(logp)
 
         def expected(batches: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
-            lattice = Lattice(current, longest)
+            lattices = Lattices(current, longest)
             for batch in batches:
-                into: dict[str, float] = defaultdict(float)
-                for word, c in zip(batch["word"], batch["c"]):
-                    lattice.expect(word, float(c), into)
+                into = lattices.expect(batch["word"].tolist(), batch["c"].to_numpy(dtype=float))
                 yield pd.DataFrame({"unit": list(into.keys()), "e": list(into.values())})
 
         sums = counted.mapInPandas(expected, "unit string, e double").groupBy("unit").agg(F.sum("e").alias("e"))
@@ -202,20 +371,13 @@ def train(docs: DataFrame, setting: Model = Model(), text: str = "text") -> dict
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, held_out, word, tf) written once: each row's words counted inside it (sorted words, lengths
-    of equal runs), so no shuffle is needed, plus one row without a word per document carrying its word count.
+    """(row, doc_id, held_out, word, tf) written once: each row's words counted inside it, so no shuffle is needed,
+    plus one row without a word per document carrying its word count.
     """
-    s = F.col("s")
-    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.when(i == 0, True).otherwise(s[i] != s[i - 1]))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size(s)))
-    runs = F.zip_with("starts", ends, lambda a, b: F.struct(s[a].alias("word"), (b - a).cast("long").alias("tf")))
-    runs = F.when(F.size(s) > 0, runs).otherwise(F.array().cast("array<struct<word:string,tf:bigint>>"))
-    starts = F.when(F.size(s) > 0, starts).otherwise(F.array().cast("array<int>"))
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size(s).cast("long").alias("tf")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.sort_array(words_of(F.col(text))).alias("s"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("starts", starts)
-    out = rows.select("row", "doc_id", "held_out", F.explode(F.concat(marker, runs)).alias("p"))
-    return written(out.select("row", "doc_id", "held_out", "p.word", "p.tf"), "lattice-doc-words")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[:3]), StructField("word", StringType()), StructField("tf", LongType())])
+    return written(rows.mapInArrow(_document_counts, schema), "lattice-doc-words")
 
 
 def score(docs: DataFrame, model: dict, setting: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,13 +396,16 @@ def score(docs: DataFrame, model: dict, setting: Model = Model(), doc_id: str =
     docs_only = found.filter(F.col("word").isNull()).select("row", "doc_id", "held_out", F.col("tf").alias("n_words"))
 
     def lattice_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(logp, longest)
+        lattices = Lattices(logp, longest)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "lp": [lattice.log_probability(w) / math.log(10) for w in batch["word"]]})
+            yield pd.DataFrame({"word": batch["word"], "lp": lattices.log_probability(batch["word"].tolist()) / math.log(10)})
 
     # every distinct word once: its training count and its lattice score (log10)
     words = per_doc.select("word").distinct().mapInPandas(lattice_scores, "word string, lp double")
-    words = words.join(counted, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), "lp")
+    c = F.coalesce(F.col("c"), F.lit(0))
+    base = F.log10((c + 1) / F.lit(float(denominator)))
+    words = words.join(counted, "word", "left").select("word", (c > 0).alias("known"), base.alias("base"), "lp")
+    words = written(words, "lattice-words")
 
     # words above hot_share of the training words (at most 1 / hot_share of them) are salted over several keys
     threshold = max(1, int(setting.hot_share * train_tokens))
@@ -249,11 +414,11 @@ def score(docs: DataFrame, model: dict, setting: Model = Model(), doc_id: str =
     keyed_docs = per_doc.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "word", "left").fillna(False, ["hot"]).withColumn("salt", salt_of)
     salted = words.join(F.broadcast(hot), "word", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(setting.salts - 1))))
     keyed = words.join(F.broadcast(hot), "word", "left_anti").withColumn("salt", F.lit(0)).unionByName(salted)
-    matched = keyed_docs.join(keyed, ["word", "salt"])
-    term = F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(denominator)))
+    # distinct words are the smaller side and one row a key, so each task's share of them is hashed, nothing sorted
+    matched = keyed_docs.join(keyed.hint("shuffle_hash"), ["word", "salt"])
     sums = matched.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known_words"),
-        F.sum(term).alias("words_base"),
+        F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("n_known_words"),
+        F.sum(F.col("tf") * F.col("base")).alias("words_base"),
         F.sum(F.col("tf") * F.col("lp")).alias("words_score"),
     )
     end_term = math.log10((n_docs + 1) / denominator)

@@ -83,3 +83,34 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = lattice_lm.train(empty, lattice_lm.Model(rounds=1))
     assert lattice_lm.score(empty, model).count() == 0
+
+
+def test_many_words_at_once_equal_one_by_one():
+    """Words of many lengths, unknown characters, names of units, too long and too improbable for dense arrays."""
+    logp, longest = small_units()
+    words = ["a", "ab", "abab", "xé", "b" * 7, "</s>", "<0x41>", "日本語" * 9, "ab" * 40, "q" * 200, "\U0001f600a", "ab"]
+    many, one = lattice_lm.Lattices(logp, longest), lattice_lm.Lattice(logp, longest)
+    assert list(many.log_probability(words)) == pytest.approx([one.log_probability(w) for w in words], rel=1e-12)
+    want = defaultdict(float)
+    for k, w in enumerate(words):
+        one.expect(w, float(k + 1), want)
+    got = many.expect(words, lattice_lm.np.arange(1.0, len(words) + 1))
+    assert {u: v for u, v in got.items() if v > 1e-12} == pytest.approx({u: v for u, v in want.items() if v > 1e-12}, rel=1e-9)
+    assert many.expect([], lattice_lm.np.zeros(0)) == {}
+
+
+def test_counts_of_many_words_take_no_python_step_for_each_edge():
+    """Some 20,000 words are weighed within seconds; edge by edge they took several times as long."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    logp, longest = small_units()
+    words = ["".join(rng.choices("abcxyz", k=rng.randrange(6, 14))) for _ in range(20_000)]
+    many, one = lattice_lm.Lattices(logp, longest), lattice_lm.Lattice(logp, longest)
+    began = time.process_time()
+    many.expect(words, lattice_lm.np.ones(len(words)))
+    middle = time.process_time()
+    for w in words:
+        one.expect(w, 1.0, defaultdict(float))
+    assert middle - began < (time.process_time() - middle) / 2
