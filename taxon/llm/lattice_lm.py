@@ -17,10 +17,12 @@ the words and one end token.
 
 Scale: training works on distinct words with their counts (a map-side combined aggregation, so a hot word
 is one row); an EM round is one pass over them in Arrow batches (words of one length share numpy arrays),
-each batch sending one row per unit it saw, and only unit counts (bounded by the vocabulary) reach the driver. Scoring is one pass over the
-documents; the words of a batch are scored once each. The base score joins the words of each document with
-their training counts; words above a share ``hot_share`` of all training words (at most 1 / ``hot_share``
-of them) are salted over ``salts`` keys, so no word's occurrences meet in one task.
+each batch sending one row per unit it saw, and only unit counts (bounded by the vocabulary) reach the driver. Scoring takes the
+documents in blocks bounded by ``block_words`` and ``block_pairs``: a block's distinct words are scored by their
+lattices once, and a document keeps the places of its words in the block's list. For the base score a block asks
+for the training count of each of its distinct words once, instead of once per document, and the counts come back
+to the block; words above a share ``hot_share`` of all training words (at most 1 / ``hot_share`` of them) are
+salted over ``salts`` keys, so not even a word of every block meets in one task.
 
 Defined results: null text is empty; an empty text has one token (the end) and the score of the end unit.
 Lower-casing covers A-Z only. A null ``doc_id`` is not held out and is learned from. Repeated rows are
@@ -32,6 +34,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +42,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from taxon.llm.common import term_table, terms_in, written
 
@@ -55,12 +59,16 @@ END = "</s>"
 
 @dataclass(frozen=True)
 class Model:
-    """Documented parameters: vocabulary file, EM rounds, salting of hot words in the base join."""
+    """Documented parameters: vocabulary file, EM rounds, salting of hot words in the base join, and the distinct
+    words and (document, word) pairs after which a block of documents ends (with whole documents).
+    """
 
     vocabulary: str = "piece_bpe_32k.model"
     rounds: int = 3
     hot_share: float = 0.001
     salts: int = 64
+    block_words: int = 500_000
+    block_pairs: int = 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -315,28 +323,45 @@ def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of ``word_counts``: per text its number of words, then every word with its count."""
-    for batch in batches:
-        at, words, counts, marks = [], [], [], []
-
-        def out() -> pa.RecordBatch:
-            place = pa.array(np.array(at, dtype=np.int64))
-            marked = pa.array(np.array(at, dtype=np.int64), mask=~np.array(marks, dtype=bool))
-            columns = [batch.column("row").take(place), *[batch.column(c).take(marked) for c in ("doc_id", "held_out")]]
-            return pa.record_batch([*columns, _strings(words), pa.array(counts, pa.int64())], names=["row", "doc_id", "held_out", "word", "tf"])
+def _document_blocks(batches: Iterator[pa.RecordBatch], lattices: Lattices, setting: Model) -> Iterator[pa.RecordBatch]:
+    """The rows of ``word_blocks``: blocks of whole documents, then the distinct words of each block."""
+    number = TaskContext.get().partitionId() << 32
+    kept, ids = [], {}
+    at, tf, distinct = array("i"), array("q"), array("q")
+
+    def out() -> Iterator[pa.RecordBatch]:
+        words = _strings(list(ids))
+        lp = lattices.log_probability(words.to_pylist()) / math.log(10)
+        docs, n_words, total = np.array(distinct), len(words), np.array(tf, dtype=float)
+        doc = np.repeat(np.arange(len(docs)), docs)
+        sums = [np.bincount(doc, weights=x, minlength=len(docs)) for x in (total, total * lp[np.array(at)])]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(docs))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x))) for x in (at, tf)]
+        ids_kept = [pa.concat_arrays([b.column(c) for b in kept]) for c in ("doc_id", "held_out")]
+        columns = [*ids_kept, pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), *lists]
+        blank = [pa.nulls(n_words, x.type) for x in columns]
+        none = [pa.nulls(len(docs), t) for t in (pa.int32(), pa.string())]
+        places = pa.array(np.arange(n_words, dtype=np.int32))
+        names = ["block", "doc_id", "held_out", "n_words", "words_score", "at", "tf", "place", "word"]
+        yield pa.record_batch([pa.array(np.full(len(docs), number)), *columns, *none], names=names)
+        yield pa.record_batch([pa.array(np.full(n_words, number)), *blank, places, words], names=names)
 
-        for k, text in enumerate(batch.column("text").cast(pa.binary())):
+    for batch in batches:
+        begun = 0
+        for k, text in enumerate(batch.column("text").cast(pa.binary()), 1):
             found = Counter(terms_in(text.as_py(), TABLE))
-            at += [k] * (len(found) + 1)
-            marks += [True] + [False] * len(found)
-            words += [None, *found]
-            counts += [found.total(), *found.values()]
-            if len(at) >= TERMS_AT_ONCE:
-                yield out()
-                at, words, counts, marks = [], [], [], []
-        if at:
-            yield out()
+            at.extend([ids.setdefault(w, len(ids)) for w in found])
+            tf.extend(found.values())
+            distinct.append(len(found))
+            if len(ids) >= setting.block_words or len(at) + len(distinct) >= setting.block_pairs:
+                kept.append(batch.select(["doc_id", "held_out"]).slice(begun, k - begun))
+                yield from out()
+                number, begun, kept, ids = number + 1, k, [], {}
+                at, tf, distinct = array("i"), array("q"), array("q")
+        if begun < batch.num_rows:
+            kept.append(batch.select(["doc_id", "held_out"]).slice(begun))
+    if kept:
+        yield from out()
 
 
 def _normalised(counts: dict[str, float], units: list[str]) -> dict[str, float]:
@@ -370,68 +395,73 @@ def train(docs: DataFrame, setting: Model = Model(), text: str = "text") -> dict
     return {"logp": logp, "longest": longest, "counts": counted, "n_docs": n_docs}
 
 
-def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, held_out, word, tf) written once: each row's words counted inside it, so no shuffle is needed,
-    plus one row without a word per document carrying its word count.
+def word_blocks(docs: DataFrame, model: dict, setting: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Blocks of documents, written once: a row per document (number of words, lattice score of all its words, places of
+    its distinct words in the block's list with their counts), and a row (place, word) per distinct word of the block.
     """
+    logp, longest = model["logp"], model["longest"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields[:3]), StructField("word", StringType()), StructField("tf", LongType())])
-    return written(rows.mapInArrow(_document_counts, schema), "lattice-doc-words")
+    columns = StructType().add("block", "long").add("doc_id", rows.schema["doc_id"].dataType).add("held_out", "boolean")
+    columns = columns.add("n_words", "long").add("words_score", "double").add("at", ArrayType(IntegerType())).add("tf", ArrayType(LongType()))
+    columns = columns.add("place", "integer").add("word", "string")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _document_blocks(batches, Lattices(logp, longest), setting)
+
+    return written(rows.mapInArrow(blocks, columns), "lattice-word-blocks")
 
 
 def score(docs: DataFrame, model: dict, setting: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
-    Each distinct word of the table is scored by its lattice once; documents sum their words' scores.
+    Each distinct word of a block of documents is scored by its lattice once and asks once for its training count.
     """
-    logp, longest, counted, n_docs = model["logp"], model["longest"], model["counts"], model["n_docs"]
+    logp, counted, n_docs = model["logp"], model["counts"], model["n_docs"]
     stats = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens = int(stats["n"]) + n_docs
     distinct = int(stats["v"]) + (1 if n_docs else 0)
     denominator = train_tokens + distinct + 1
 
-    found = word_counts(docs, doc_id, text)
-    per_doc = found.filter(F.col("word").isNotNull())
-    docs_only = found.filter(F.col("word").isNull()).select("row", "doc_id", "held_out", F.col("tf").alias("n_words"))
-
-    def lattice_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattices = Lattices(logp, longest)
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "lp": lattices.log_probability(batch["word"].tolist()) / math.log(10)})
-
-    # every distinct word once: its training count and its lattice score (log10)
-    words = per_doc.select("word").distinct().mapInPandas(lattice_scores, "word string, lp double")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    base = F.log10((c + 1) / F.lit(float(denominator)))
-    words = words.join(counted, "word", "left").select("word", (c > 0).alias("known"), base.alias("base"), "lp")
-    words = written(words, "lattice-words")
+    blocks = word_blocks(docs, model, setting, doc_id, text)
+    documents = blocks.filter(F.col("word").isNull()).drop("place", "word")
+    places = blocks.filter(F.col("word").isNotNull()).select("word", "block", "place")
 
     # words above hot_share of the training words (at most 1 / hot_share of them) are salted over several keys
     threshold = max(1, int(setting.hot_share * train_tokens))
-    hot = counted.filter(F.col("c") >= threshold).select("word")
-    salt_of = F.when(F.col("hot"), F.pmod(F.xxhash64("row", "word"), F.lit(setting.salts))).otherwise(F.lit(0))
-    keyed_docs = per_doc.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "word", "left").fillna(False, ["hot"]).withColumn("salt", salt_of)
-    salted = words.join(F.broadcast(hot), "word", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(setting.salts - 1))))
-    keyed = words.join(F.broadcast(hot), "word", "left_anti").withColumn("salt", F.lit(0)).unionByName(salted)
-    # distinct words are the smaller side and one row a key, so each task's share of them is hashed, nothing sorted
-    matched = keyed_docs.join(keyed.hint("shuffle_hash"), ["word", "salt"])
-    sums = matched.groupBy("row").agg(
-        F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("n_known_words"),
-        F.sum(F.col("tf") * F.col("base")).alias("words_base"),
-        F.sum(F.col("tf") * F.col("lp")).alias("words_score"),
-    )
-    end_term = math.log10((n_docs + 1) / denominator)
+    hot = counted.filter(F.col("c") >= threshold).select("word", F.lit(True).alias("hot"))
+    salt_of = F.when(F.col("hot"), F.pmod(F.xxhash64("block"), F.lit(setting.salts))).otherwise(F.lit(0))
+    keyed_places = places.join(F.broadcast(hot), "word", "left").withColumn("salt", salt_of).drop("hot")
+    salts = F.when(F.col("c") >= threshold, F.sequence(F.lit(0), F.lit(setting.salts - 1))).otherwise(F.array(F.lit(0)))
+    keyed = counted.withColumn("salt", F.explode(salts))
+    # training words are one row a key, so each task's share of them is hashed, nothing sorted
+    known = keyed_places.join(keyed.hint("shuffle_hash"), ["word", "salt"]).select(F.col("block").alias("of_block"), "place", "c")
+
+    end_base = math.log10((n_docs + 1) / denominator)
     end_score = logp[END] / math.log(10)
-    out = docs_only.join(sums, "row", "left")
-    return out.select(
-        "doc_id", "held_out",
-        (F.col("n_words") + 1).cast("long").alias("n_tokens"),
-        (F.coalesce(F.col("n_known_words"), F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.coalesce(F.col("words_base"), F.lit(0.0)) + end_term).alias("base_score"),
-        (F.coalesce(F.col("words_score"), F.lit(0.0)) + end_score).alias("score"),
-    )
+
+    def scored(docs: pa.Table, known: pa.Table) -> pa.Table:
+        """The documents of one block with the counts of its known words."""
+        at, tf = (docs[c].combine_chunks() for c in ("at", "tf"))
+        doc = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+        at, tf = at.flatten().to_numpy(), tf.flatten().to_numpy()
+        c = np.zeros(int(at.max(initial=-1)) + 1)
+        c[known["place"].to_numpy()] = known["c"].to_numpy()
+        base = tf * np.log10((c + 1) / denominator)[at]
+        n_known, words_base = (np.bincount(doc, weights=x, minlength=docs.num_rows) for x in (tf * (c > 0)[at], base))
+        return pa.table({
+            "doc_id": docs["doc_id"],
+            "held_out": docs["held_out"],
+            "n_tokens": docs["n_words"].to_numpy() + 1,
+            "n_known": n_known.astype(np.int64) + (1 if n_docs else 0),
+            "train_tokens": np.full(docs.num_rows, train_tokens, dtype=np.int64),
+            "base_score": words_base + end_base,
+            "score": docs["words_score"].to_numpy() + end_score,
+        })
+
+    columns = StructType().add("doc_id", documents.schema["doc_id"].dataType).add("held_out", "boolean")
+    columns = columns.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    joined = documents.groupBy("block").cogroup(known.groupBy("of_block"))
+    return joined.applyInArrow(scored, columns)
 
 
 def lattice_search_space(word: str, logp: dict[str, float], longest: int) -> list[list[str]]:

@@ -114,3 +114,33 @@ def test_counts_of_many_words_take_no_python_step_for_each_edge():
     for w in words:
         one.expect(w, 1.0, defaultdict(float))
     assert middle - began < (time.process_time() - middle) / 2
+
+
+def test_words_travel_once_for_each_block_of_documents(spark):
+    """300 documents of 200 common words each: no table of a row per (document, word) is written on the way."""
+    from pathlib import Path
+
+    from taxon.session import scratch_root
+
+    common = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(i, f"{common} own{i}") for i in range(300)], "doc_id long, text string").coalesce(2)
+    model = lattice_lm.train(docs, lattice_lm.Model(rounds=1))
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    there = set(root.glob("lattice-*"))
+    assert lattice_lm.score(docs, model).count() == 300
+    made = set(root.glob("lattice-*")) - there
+    assert made and sum(spark.read.parquet(str(p)).count() for p in made) < 3_000
+
+
+def test_scores_do_not_depend_on_the_size_of_blocks(spark):
+    texts = [None, "", "a b c", "a a b", "x y z a", "zzz " * 40, "a b c", "ü é", "  ", "b"] * 3
+    docs = spark.createDataFrame([(f"k{i}" if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
+    model = lattice_lm.train(docs.filter(~lattice_lm.held_out(docs["doc_id"])), lattice_lm.Model(rounds=1))
+
+    def scored(setting):
+        return sorted((str(r.doc_id), *r[1:5], round(r.base_score, 9), round(r.score, 9)) for r in lattice_lm.score(docs, model, setting).collect())
+
+    whole = scored(lattice_lm.Model())
+    assert len(whole) == len(texts)
+    assert scored(lattice_lm.Model(block_words=1, hot_share=0.1, salts=2)) == whole
+    assert scored(lattice_lm.Model(block_pairs=5)) == whole
