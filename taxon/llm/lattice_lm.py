@@ -36,7 +36,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from taxon.llm.common import term_table, terms_in, written
 
@@ -67,8 +67,8 @@ class Model:
     rounds: int = 3
     hot_share: float = 0.001
     salts: int = 64
-    block_words: int = 500_000
-    block_pairs: int = 4_000_000
+    block_words: int = 300_000
+    block_pairs: int = 1_500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -301,6 +301,7 @@ class Lattices:
 # separators and A-Z in the bytes of a text, as in ``words_of``
 TABLE = term_table([0x20, *range(0x09, 0x0E)])
 TERMS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 2_000
 
 
 def _strings(words: list[bytes | None]) -> pa.Array:
@@ -326,12 +327,14 @@ def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _document_blocks(batches: Iterator[pa.RecordBatch], lattices: Lattices, setting: Model) -> Iterator[pa.RecordBatch]:
     """The rows of ``word_blocks``: blocks of whole documents, then the distinct words of each block."""
     number = TaskContext.get().partitionId() << 32
-    kept, ids = [], {}
-    at, tf, distinct = array("i"), array("q"), array("q")
+    kept, ids, scored = [], {}, {}
+    at, tf, distinct = array("i"), array("i"), array("q")
 
-    def out() -> Iterator[pa.RecordBatch]:
+    def out() -> Generator[pa.RecordBatch, None, dict[bytes, float]]:
         words = _strings(list(ids))
-        lp = lattices.log_probability(words.to_pylist()) / math.log(10)
+        lp = np.fromiter((scored.get(w, math.nan) for w in ids), dtype=float, count=len(ids))
+        new = np.flatnonzero(np.isnan(lp))
+        lp[new] = lattices.log_probability(words.take(pa.array(new)).to_pylist()) / math.log(10)
         docs, n_words, total = np.array(distinct), len(words), np.array(tf, dtype=float)
         doc = np.repeat(np.arange(len(docs)), docs)
         sums = [np.bincount(doc, weights=x, minlength=len(docs)) for x in (total, total * lp[np.array(at)])]
@@ -343,8 +346,10 @@ def _document_blocks(batches: Iterator[pa.RecordBatch], lattices: Lattices, sett
         none = [pa.nulls(len(docs), t) for t in (pa.int32(), pa.string())]
         places = pa.array(np.arange(n_words, dtype=np.int32))
         names = ["block", "doc_id", "held_out", "n_words", "words_score", "at", "tf", "place", "word"]
-        yield pa.record_batch([pa.array(np.full(len(docs), number)), *columns, *none], names=names)
-        yield pa.record_batch([pa.array(np.full(n_words, number)), *blank, places, words], names=names)
+        for n, rows in ((len(docs), [*columns, *none]), (n_words, [*blank, places, words])):
+            made = pa.record_batch([pa.array(np.full(n, number)), *rows], names=names)
+            yield from (made.slice(k, ROWS_AT_ONCE) for k in range(0, n, ROWS_AT_ONCE))
+        return dict(zip(ids, lp.tolist()))  # the next block of the task scores only words that this one had not
 
     for batch in batches:
         begun = 0
@@ -355,9 +360,9 @@ def _document_blocks(batches: Iterator[pa.RecordBatch], lattices: Lattices, sett
             distinct.append(len(found))
             if len(ids) >= setting.block_words or len(at) + len(distinct) >= setting.block_pairs:
                 kept.append(batch.select(["doc_id", "held_out"]).slice(begun, k - begun))
-                yield from out()
+                scored = yield from out()
                 number, begun, kept, ids = number + 1, k, [], {}
-                at, tf, distinct = array("i"), array("q"), array("q")
+                at, tf, distinct = array("i"), array("i"), array("q")
         if begun < batch.num_rows:
             kept.append(batch.select(["doc_id", "held_out"]).slice(begun))
     if kept:
@@ -402,7 +407,7 @@ def word_blocks(docs: DataFrame, model: dict, setting: Model = Model(), doc_id:
     logp, longest = model["logp"], model["longest"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     columns = StructType().add("block", "long").add("doc_id", rows.schema["doc_id"].dataType).add("held_out", "boolean")
-    columns = columns.add("n_words", "long").add("words_score", "double").add("at", ArrayType(IntegerType())).add("tf", ArrayType(LongType()))
+    columns = columns.add("n_words", "long").add("words_score", "double").add("at", ArrayType(IntegerType())).add("tf", ArrayType(IntegerType()))
     columns = columns.add("place", "integer").add("word", "string")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
