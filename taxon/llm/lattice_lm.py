@@ -19,7 +19,7 @@ Scale: training works on distinct words with their counts (a map-side combined a
 is one row); an EM round is one pass over them in Arrow batches (words of one length share numpy arrays),
 each batch sending one row per unit it saw, and only unit counts (bounded by the vocabulary) reach the driver. Scoring takes the
 documents in blocks bounded by ``block_words`` and ``block_pairs``: a block's distinct words are scored by their
-lattices once, and a document keeps the places of its words in the block's list. For the base score a block asks
+lattices once (not again if the task's previous block had them), and a document keeps the places of its words in the block's list. For the base score a block asks
 for the training count of each of its distinct words once, instead of once per document, and the counts come back
 to the block; words above a share ``hot_share`` of all training words (at most 1 / ``hot_share`` of them) are
 salted over ``salts`` keys, so not even a word of every block meets in one task.
